@@ -36,15 +36,16 @@ def circulant_signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return sig
 
 
-def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int = 5, bands: int = 20, rows: int = 4, block: int = 512) -> DataFrame:
+def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int = 5, bands: int = 20, rows: int = 4, block: int = 512, star_turns: int = 4) -> DataFrame:
     """One row per document of ``df`` (doc_id, text): n_shingles, component_id, kept.
 
     Links hold where 100 * |A and B| >= threshold_percent * |A or B| over full sets of ``shingle``-word shingles. With 20
     bands of 4 coordinates a pair at 0.75 shares no bucket with probability (1 - 0.75^4)^20 < 0.0006, closer pairs less.
 
     Work that a group of copies causes stays linear in it: documents with equal sets become one class first; then each
-    bucket's members are verified against its least member only. Where members of a bucket still belong to different
-    components, all such pairs that earlier steps left open are looked at in blocks of signatures, and those whose
+    bucket's members are verified against its least member only. While the members of a bucket that belong to different
+    components still make many more pairs than members, up to ``star_turns`` turns verify them against another member drawn
+    for each bucket. Then all such pairs that earlier steps left open are looked at in blocks of signatures, and those whose
     signatures don't rule out the threshold (agreement under 0.45 where 0.75 is needed: 7 standard deviations of an
     80-coordinate signature) are verified on full sets. Pairs within a component are left out: they can't change it.
 
@@ -88,10 +89,26 @@ def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int =
     comp = written(connected_components(sure), "star-components")
 
     # what the stars left open: buckets of three or more whose members are not all connected yet
-    named = shared.where("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = written(named, "named-buckets")
-    split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    left = named.join(split, "bucket").where("rep != center")
+    tried, turn = stars, 0
+    while True:
+        named = shared.where("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = written(named.select("bucket", "rep", "component", "n"), "named-buckets")
+        parts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+        split = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
+        split = written(split.select("bucket", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("open")), "open-buckets")
+        left = named.join(split.select("bucket"), "bucket")
+        total = split.agg(F.sum("open").alias("open"), F.sum("m").alias("m")).first()
+        if turn == star_turns or not total["m"] or total["open"] <= 4 * total["m"]:
+            break
+        turn += 1
+        # another center in each open bucket, drawn anew: members of a large group of near copies meet many of them
+        drawn = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), "rep", "component")).alias("c"))
+        drawn = drawn.select("bucket", F.col("c.rep").alias("c"), F.col("c.component").alias("cc"))
+        pairs = left.join(drawn, "bucket").where("component != cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "stars")
+        tried = written(tried.unionByName(pairs), "tried")
+        sure = written(sure.unionByName(verified(pairs, docs, threshold_percent, shingle)), "sure")
+        comp = written(connected_components(sure), "star-components")
     left = left.join(keep.select("rep", "sig"), "rep").withColumn("g", F.ceil(F.col("n") / block).cast("int"))
     left = left.withColumn("own", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     left = left.select("bucket", "rep", "component", "sig", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
@@ -112,7 +129,7 @@ def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int =
         return np.minimum(a, b), np.maximum(a, b)
 
     more = map_groups(left, ["bucket", "p", "q"], open_pairs, "a long, b long").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "open-pairs")
     sure = sure.unionByName(verified(more, docs, threshold_percent, shingle))
     comp = written(connected_components(sure), "components")
 
