@@ -1,10 +1,223 @@
-"""Queries over the driver's tables that apply the engine's operators by analogy."""
+"""Queries over the driver's tables that apply the engine's operators by analogy, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from doclattice.functions import markup
+from doclattice.functions.names import canon_type, folded, norm, split_top
+from doclattice.functions.xml import escape, quoteattr, render
+from doclattice.operators.coverage import coverage as covered
+from doclattice.operators.merge import flagged, funnel, priority_merge, ranked
+from doclattice.operators.resolve import member_index, resolve_members, resolve_types
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layers that document customers: urgent orders, filled orders, nations."""
+    orders = table(spark, sf_dir, "orders")
+    note = lambda prio, source, word: (F.lit(source).alias("source"), F.lit(prio).alias("prio"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit(f"{word} "), F.col("o_orderkey").cast("string")).alias("text"))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(*note(0, "urgent", "urgent"))
+    full = orders.where("o_orderstatus = 'F'").select(*note(1, "filled", "filled"))
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nation = customers.select(F.lit("nation").alias("source"), F.lit(2).alias("prio"), F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("ord"), F.col("n_name").alias("text"))
+    return urgent.unionByName(full).unionByName(nation)
+
+
+LAYERS = """layers AS (
+    SELECT 'urgent' AS source, 0 AS prio, o_custkey AS id, o_orderkey AS ord, 'urgent ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT 'filled', 1, o_custkey, o_orderkey, 'filled ' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'nation', 2, c_custkey, 0, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prio, ord) AS place, first_value(source) OVER (PARTITION BY id ORDER BY prio, ord) AS winner FROM layers)"""
+
+
+@query(f"WITH {LAYERS} SELECT id, source, text FROM placed WHERE place = 1")
+def priority_merge_query(spark, sf_dir):
+    return priority_merge(layers(spark, sf_dir)).where("written").select("id", "source", "text")
+
+
+@query(f"WITH {LAYERS} SELECT source, step, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, unnest(['symbols documented', CASE WHEN place = 1 THEN 'entries written' ELSE 'already documented by a higher-priority source' END]) AS step FROM placed) GROUP BY source, step")
+def merge_funnel(spark, sf_dir):
+    rows = priority_merge(layers(spark, sf_dir))
+    steps = None
+    for source in ("urgent", "filled", "nation"):
+        more = flagged(rows.where(F.col("source") == source), source, {"symbols documented": F.lit(True), "entries written": "written", "already documented by a higher-priority source": "not written"})
+        steps = more if steps is None else steps.unionByName(more)
+    return funnel(steps)
+
+
+@query(f"WITH {LAYERS} SELECT id, source, text, winner FROM placed WHERE place > 1")
+def shadowed_entries(spark, sf_dir):
+    rows = priority_merge(layers(spark, sf_dir))
+    winner = rows.where("written").select("id", F.col("source").alias("winner"))
+    return rows.where("not written").join(winner, "id").select("id", "source", "text", "winner")
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY source, md5(regexp_replace(text, '[\\s\\x1c-\\x1f]+', '', 'g')) ORDER BY doc_id) AS place FROM documents) WHERE place = 1")
+def first_in_source(spark, sf_dir):
+    """The texts travel as digests: whole ones would make a shuffle of the table."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.md5(F.encode(norm(F.col("text")), "utf-8")).alias("id"))
+    return ranked(rows, ["source", "id"], ["doc_id"]).where("place = 1").select("doc_id", "lang", "source")
+
+
+@query("""SELECT 'events' AS source, 'no customer with this key' AS reason, CAST(event_id AS VARCHAR) AS entry FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
+UNION ALL SELECT 'labels', 'no document with this id', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)""")
+def unmatched_report(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    events = table(spark, sf_dir, "events").join(users, "user_id", "left_anti").select(F.lit("events").alias("source"), F.lit("no customer with this key").alias("reason"), F.col("event_id").cast("string").alias("entry"))
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti")
+    return events.unionByName(labels.select(F.lit("labels").alias("source"), F.lit("no document with this id").alias("reason"), F.col("doc_id").cast("string").alias("entry")))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, p_brand, s_name FROM lineitem LEFT JOIN part ON regexp_replace('Part' || CAST(l_partkey AS VARCHAR), '\\s+', '', 'g') = 'Part' || CAST(p_partkey AS VARCHAR) LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def exact_lookup(spark, sf_dir):
+    line, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    part = part.select(norm(F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))).alias("key"), "p_brand")
+    line = line.withColumn("key", F.concat(F.lit("Part"), F.col("l_partkey").cast("string")))
+    out = line.join(part, "key", "left").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "p_brand", "s_name")
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names region.nation.segment, as if they were types."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    full = F.concat_ws(".", norm(F.col("r_name")), norm(F.col("n_name")), F.col("c_mktsegment"))
+    return rows.select(full.alias("full")).distinct()
+
+
+@query("""WITH full_names AS (SELECT DISTINCT regexp_replace(r_name, '\\s+', '', 'g') || '.' || regexp_replace(n_name, '\\s+', '', 'g') || '.' || c_mktsegment AS fname FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+asked AS (SELECT fname AS name FROM full_names UNION SELECT string_split(fname, '.')[2] || '.' || string_split(fname, '.')[3] FROM full_names UNION SELECT string_split(fname, '.')[3] FROM full_names),
+hits AS (SELECT name, count(*) AS n, min(fname) AS fname FROM asked JOIN full_names ON fname LIKE '%.' || name GROUP BY name)
+SELECT a.name, coalesce(e.fname, CASE WHEN h.n = 1 THEN h.fname END) AS found FROM asked a LEFT JOIN full_names e ON e.fname = a.name LEFT JOIN hits h ON h.name = a.name""")
+def suffix_lookup(spark, sf_dir):
+    full = places(spark, sf_dir)
+    types = full.select(F.col("full").alias("type_key"), F.struct("full").alias("t"))
+    asked = full.select(F.explode(F.array(F.col("full"), F.substring_index("full", ".", -2), F.substring_index("full", ".", -1))).alias("name")).distinct()
+    return resolve_types(asked, types, "name", F.lit(True)).select("name", F.col("t.full").alias("found"))
+
+
+@query("""WITH members AS (SELECT p_brand AS scope, p_type AS name, p_partkey AS id FROM part),
+asked AS (SELECT DISTINCT scope, unnest([name, upper(name), lower(name), string_split(name, ' ')[1]]) AS name FROM members),
+one AS (SELECT a.scope, a.name, min(id) AS first_id, count(*) AS n FROM asked a JOIN members m ON m.scope = a.scope AND m.name = a.name GROUP BY ALL),
+three AS (SELECT a.scope, a.name, min(id) AS first_id, count(*) AS n FROM asked a JOIN members m ON m.scope = a.scope AND lower(m.name) = lower(a.name) GROUP BY ALL)
+SELECT a.scope, a.name, CASE WHEN o.n IS NOT NULL THEN 1 WHEN t.n IS NOT NULL THEN 3 END AS tier, coalesce(o.first_id, t.first_id) AS first_id, CAST(coalesce(o.n, t.n, 0) AS BIGINT) AS n
+FROM asked a LEFT JOIN one o ON o.scope = a.scope AND o.name = a.name LEFT JOIN three t ON t.scope = a.scope AND t.name = a.name""")
+def tiered_candidates(spark, sf_dir):
+    members = table(spark, sf_dir, "part").select(F.col("p_brand").alias("scope"), F.col("p_type").alias("name"), F.col("p_partkey").alias("id"))
+    asked = members.select("scope", F.explode(F.array(F.col("name"), F.upper("name"), F.lower("name"), F.substring_index("name", " ", 1))).alias("name")).distinct()
+    exact = members.groupBy("scope", "name").agg(F.min("id").alias("a"), F.count("*").alias("an"))
+    lower = members.groupBy("scope", F.lower("name").alias("low")).agg(F.min("id").alias("b"), F.count("*").alias("bn"))
+    out = asked.join(exact, ["scope", "name"], "left").withColumn("low", F.lower("name")).join(lower, ["scope", "low"], "left")
+    return out.select("scope", "name", F.when(F.col("a").isNotNull(), 1).when(F.col("b").isNotNull(), 3).alias("tier"), F.coalesce("a", "b").alias("first_id"), F.coalesce("an", "bn", F.lit(0)).cast("long").alias("n"))
+
+
+@query("""WITH c0 AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'f': l_returnflag, 's': l_linestatus, 'q': CAST(l_quantity AS BIGINT)}) AS c FROM lineitem GROUP BY l_orderkey),
+c1 AS (SELECT k, len(c) AS named, CASE WHEN len(c) > 1 AND len(list_filter(c, lambda x: x.f = 'R')) > 0 THEN list_filter(c, lambda x: x.f = 'R') ELSE c END AS c FROM c0),
+c2 AS (SELECT k, named, CASE WHEN len(c) > 1 THEN list_filter(c, lambda x: x.s = 'O') ELSE c END AS c FROM c1),
+c3 AS (SELECT k, named, CASE WHEN len(c) > 1 THEN list_filter(c, lambda x: x.q % 2 = 0) ELSE c END AS c FROM c2)
+SELECT k AS l_orderkey, CASE WHEN len(c) = 1 THEN CAST(c[1].n AS BIGINT) END AS line,
+CASE WHEN len(c) = 1 THEN '' WHEN len(c) = 0 THEN CAST(named AS VARCHAR) || ' members with this name, none fits the signature' ELSE CAST(named AS VARCHAR) || ' members with this name, ' || CAST(len(c) AS VARCHAR) || ' fit the signature equally' END AS reason FROM c3""")
+def narrow_ladder(spark, sf_dir):
+    """The lines of an order as overloads: kind (with its way back), parameter list by line status, modifiers by quantity."""
+    line = table(spark, sf_dir, "lineitem")
+    even = (F.col("l_quantity").cast("long") % 2).cast("string")
+    symbols = line.select(F.monotonically_increasing_id().alias("ord"), F.col("l_linenumber").cast("string").alias("id"), F.col("l_returnflag").alias("kind"), F.lit("line").alias("name"), F.col("l_orderkey").cast("string").alias("type"), F.array("l_linestatus").alias("ptypes"), F.array(F.lit("x")).alias("pnames"), F.array(even).alias("prefs"), F.lit(0).alias("tparams"))
+    # a status is a type name, so that only one of an order's candidates or all alike may pass the rung of types
+    asked = line.select(F.col("l_orderkey").cast("string").alias("scope")).distinct().select("scope", F.lit("line").alias("name"), F.lit("R").alias("kind"), F.lit(1).alias("arity"), F.array(F.lit("O")).alias("ptypes"), F.lit(0).alias("tparams"), F.array(F.lit("0")).alias("prefs"))
+    out = resolve_members(asked, member_index(symbols))
+    return out.select(F.col("scope").cast("long").alias("l_orderkey"), F.col("sym.id").cast("long").alias("line"), "reason")
+
+
+@query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text <> '') AS tooltip, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS label FROM conversations GROUP BY conv_id")
+def first_tooltip_label(spark, sf_dir):
+    first = lambda role: F.min_by(F.when((F.col("role") == role) & (F.col("text") != ""), F.col("text")), F.when((F.col("role") == role) & (F.col("text") != ""), F.col("turn")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("assistant").alias("tooltip"), first("user").alias("label"))
+
+
+@query("SELECT p_partkey, lower(regexp_replace(p_name, '[\\W_]', '', 'g')) = lower(regexp_replace(split_part(p_name, ' ', 1) || '-' || split_part(p_name, ' ', 2), '[\\W_]', '', 'g')) AS echo, lower(regexp_replace(p_type, '[\\W_]', '', 'g')) AS folded FROM part")
+def label_echo(spark, sf_dir):
+    two = F.concat_ws("-", F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)), F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)))
+    return table(spark, sf_dir, "part").select("p_partkey", (folded(F.col("p_name")) == folded(two)).alias("echo"), folded(F.col("p_type")).alias("folded"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</?(b|big|code|em|i|s|small|span|strong|sub|tt|u|var)(\\s[^>]*)?/?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
+def markup_to_text(spark, sf_dir):
+    text = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(b|big|code|em|i|s|small|span|strong|sub|tt|u|var)(\s[^>]*)?/?>", ""), "<[^>]*>", " ")
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+
+
+@query("SELECT p_partkey, 'List<int,' || regexp_replace(p_brand, '\\s+', '', 'g') || '>' AS canon FROM part")
+def canon_name(spark, sf_dir):
+    written = F.concat(F.lit("System . Collections.Generic.List{System.Int32, Shop."), F.col("p_brand"), F.lit("}@"))
+    brand = F.regexp_replace(canon_type(F.regexp_replace(written, "#", "__")), "__", "#")
+    return table(spark, sf_dir, "part").select("p_partkey", brand.alias("canon"))
+
+
+@query("SELECT p_partkey, CAST(3 AS BIGINT) AS n, p_brand || '<' || CAST(p_size AS VARCHAR) || ',x>' AS one, '(' || p_type || ',[y,z])' AS two, p_name AS three FROM part")
+def split_top_query(spark, sf_dir):
+    text = F.concat(F.col("p_brand"), F.lit("<"), F.col("p_size").cast("string"), F.lit(",x>,("), F.col("p_type"), F.lit(",[y,z]),"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", split_top(text).alias("x")).select("p_partkey", F.size("x").cast("long").alias("n"), *(F.get("x", i).alias(c) for i, c in enumerate(("one", "two", "three"))))
+
+
+@query("""SELECT p_partkey, '<summary>' || replace(replace(replace(p_name, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') || '</summary><param name="' || p_brand || '">' || p_type || '</param><returns>' || CAST(p_size AS VARCHAR) || '</returns><remarks>' || p_type || '</remarks>' AS body FROM part""")
+def render_member(spark, sf_dir):
+    named = F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_type").alias("text")))
+    doc = F.struct(escape(F.col("p_name")).alias("summary"), named.alias("params"), F.slice(named, 1, 0).alias("typeparams"), F.col("p_size").cast("string").alias("returns"), F.array("p_type").alias("remarks"), F.lit(None).cast("string").alias("raw"))
+    return table(spark, sf_dir, "part").select("p_partkey", render(doc).alias("body"))
+
+
+@query("""SELECT r_name AS asm, '<doc>' || string_agg('<member name="' || n_name || '">' || CAST(n_nationkey AS VARCHAR) || '</member>', '' ORDER BY n_name) || '</doc>' AS document, CAST(count(*) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def grouped_document(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.concat(F.lit("<member name="), quoteattr(F.col("n_name")), F.lit(">"), F.col("n_nationkey").cast("string"), F.lit("</member>"))
+    lines = rows.groupBy(F.col("r_name").alias("asm")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("id"), line.alias("line")))).alias("lines"))
+    return lines.select("asm", F.concat(F.lit("<doc>"), F.array_join(F.transform("lines", lambda x: x["line"]), ""), F.lit("</doc>")).alias("document"), F.size("lines").cast("long").alias("n"))
+
+
+@query("SELECT d.lang AS asm, CAST(count(l.doc_id) AS BIGINT) AS documented, CAST(count(*) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY d.lang")
+def coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("asm"))
+    return covered(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'Method' WHEN 'view' THEN 'Field' WHEN 'purchase' THEN 'Property' END AS kind FROM events) WHERE kind IS NOT NULL GROUP BY kind")
+def kind_filter(spark, sf_dir):
+    kinds = F.create_map(*(F.lit(x) for kv in {"click": "Method", "view": "Field", "purchase": "Property"}.items() for x in kv))
+    return table(spark, sf_dir, "events").select(kinds[F.col("event_type")].alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def wellformed_filter(spark, sf_dir):
+    @F.pandas_udf("boolean")
+    def formed(texts: pd.Series) -> pd.Series:
+        return texts.map(markup.well_formed)
+
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<body[^>]*>(.*)</body>", 1).alias("body"))
+    return rows.select("page_id", formed("body").alias("well_formed"))
+
+
+QUERIES["priority_merge"] = QUERIES.pop("priority_merge_query")
+ORACLES["priority_merge"] = ORACLES.pop("priority_merge_query")
+QUERIES["split_top"] = QUERIES.pop("split_top_query")
+ORACLES["split_top"] = ORACLES.pop("split_top_query")

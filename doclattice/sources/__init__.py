@@ -1 +1 @@
-
+"""Readers (``files``) and writers (``sinks``)."""
