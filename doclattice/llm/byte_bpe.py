@@ -11,7 +11,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,11 +101,11 @@ def widened(blob: bytes) -> np.ndarray:
 def blocks(batches, pattern: str):
     """Blocks of whole documents: (number, ids of documents, code lists, distinct words in order of first use). A word's code is its
     place among the block's distinct words, and the code lists are the block's pre-tokens with their positions."""
-    part, number = TaskContext.get().partitionId(), 0
+    number = 0
     vocab: defaultdict[str, int] = defaultdict(count().__next__)
     ids, lists, chars = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, t, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = pre_tokens(t, pattern)
             ids.append(i)
             lists.append(np.fromiter(map(vocab.__getitem__, words), np.uint32, len(words)))
@@ -119,22 +119,25 @@ def blocks(batches, pattern: str):
         yield (part << 32) + number, ids, lists, list(vocab)
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0, stable: bool = False) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``docs``: ids as little-endian unsigned 32-bit integers, and the bytes of their decoding.
 
-    1. Texts are exploded into pre-tokens with positions, in blocks of documents. A block's distinct words are combined; its
-       positions and its words, divided by a hash of the word into ``buckets``, are written once to the shared folder, so
-       that a lost executor can't change what belongs to a block.
+    1. Texts are exploded into pre-tokens with positions, in blocks of documents. A block's distinct words are combined and
+       divided by a hash of the word into ``buckets``.
     2. The words go to their buckets: one row for a block and bucket, so a word that is everywhere adds one entry for each
        block and every bucket has the same number of rows. A bucket encodes each distinct word once, by the merge ranks.
     3. The ids go back to their blocks, where they meet the positions, and each document's ids are put together in order.
     4. Decoding looks the ids up in the token-byte table, of the vocabulary's size.
 
-    Positions are shuffled once and texts never. A null text is like an empty one: no ids. Every row is returned, repeated and
+    The words and the positions come from two passes over the same rows, so positions are shuffled once, texts never, and neither
+    is written. Both passes have to see the same rows in the same order: ``stable`` states that ``docs`` is a scan of files that
+    don't change; else its rows are written first. Each block's words carry a digest in both passes, so that a
+    difference is an error and never a wrong result. A null text is like an empty one: no ids. Every row is returned, repeated and
     null doc_ids too.
     """
     spark = docs.sparkSession
     rows = columns(docs, "doc_id", "text")
+    rows = (rows if stable else written(rows, "texts")).withColumn("part", F.spark_partition_id())
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ddl = "block long, bucket int, payload binary, docs binary"
     limits = np.array([2**32 * k // buckets for k in range(1, buckets)], np.int64)
@@ -147,19 +150,25 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0
         schema = schema_of(ddl)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    def exploded(batches):
-        for block, ids, lists, words in blocks(batches, pattern):
+    def words_of(batches):
+        for block, _, _, words in blocks(batches, pattern):
             raw, share = shares(words)
-            # codes by bucket, then by first use: the order in which the ids come back
             order = np.argsort(share, kind="stable")
             at = np.searchsorted(share[order], np.arange(buckets + 1))
             for k in range(buckets):
                 if at[k] < at[k + 1]:
                     yield batch([block], [k], [packed([raw[i] for i in order[at[k] : at[k + 1]]])], [None])
+            yield batch([block], [buckets], [xxhash.xxh3_128_digest(b"\n".join(raw))], [None])
+
+    def places_of(batches):
+        for block, ids, lists, words in blocks(batches, pattern):
+            raw, share = shares(words)
+            # codes by bucket, then by first use: the order in which the ids come back
+            order = np.argsort(share, kind="stable")
             new = np.empty(len(words), np.uint32)
             new[order] = np.arange(len(words), dtype=np.uint32)
             body = narrow(new[np.concatenate(lists)] if words else np.empty(0, np.uint32))
-            head = np.array([len(ids), *map(len, lists)], "<u4").tobytes()
+            head = xxhash.xxh3_128_digest(b"\n".join(raw)) + np.array([len(ids), *map(len, lists)], "<u4").tobytes()
             known = np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
             yield batch([block], [-1], [body], [zlib.compress(head + known, 1)])
 
@@ -171,6 +180,9 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0
         now = None
         for b in batches:
             for block, bucket, blob in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
+                if bucket == buckets:
+                    yield batch([block], [bucket], [blob], [None])
+                    continue
                 if bucket != now:
                     known, now = {}, bucket
                 out = []
@@ -180,21 +192,21 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0
                     out.append(x)
                 yield batch([block], [bucket], [packed(out)], [None])
 
-    parts = written(rows.mapInArrow(exploded, ddl), "exploded")
-    sent = parts.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    both = sent.mapInArrow(encoded, ddl).unionByName(parts.where("bucket < 0"))
+    sent = rows.mapInArrow(words_of, ddl).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    both = sent.mapInArrow(encoded, ddl).unionByName(rows.mapInArrow(places_of, ddl))
 
     def assembled(g: dict):
-        order = np.argsort(g["bucket"].to_numpy())
-        blobs, at = g["payload"], int(order[0])
-        if g["bucket"][at].as_py() != -1:
-            raise ValueError("a block without positions")
-        words = [np.frombuffer(w, "<u2" if small else "<u4") for i in order[1:] for w in unpacked(blobs[int(i)].as_py())]
+        order, blobs = np.argsort(g["bucket"].to_numpy()), g["payload"]
+        at, check = int(order[0]), int(order[-1])
+        head = zlib.decompress(g["docs"][at].as_py() or zlib.compress(b""))
+        if (g["bucket"][at].as_py(), g["bucket"][check].as_py(), blobs[check].as_py()) != (-1, buckets, head[:16]):
+            raise ValueError("the two passes saw different rows; encode a written table")
+        words = [np.frombuffer(w, "<u2" if small else "<u4") for i in order[1:-1] for w in unpacked(blobs[int(i)].as_py())]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.append(0, np.cumsum(sizes))
         flat = np.concatenate([*words, np.empty(0, "<u2")]).astype("<u4")
         codes = widened(blobs[at].as_py())
-        head = zlib.decompress(g["docs"][at].as_py())
+        head = head[16:]
         n = int(np.frombuffer(head, "<u4", 1)[0])
         lens = np.frombuffer(head, "<u4", n, 4)
         known = np.frombuffer(head, np.uint8, n, 4 + 4 * n)

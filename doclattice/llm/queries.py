@@ -79,7 +79,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from doclattice.llm.byte_bpe import digests, encode_documents
 
-    return digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
