@@ -36,18 +36,18 @@ def circulant_signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return sig
 
 
-def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int = 5, bands: int = 20, rows: int = 4, block: int = 512, star_turns: int = 4) -> DataFrame:
+def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int = 5, bands: int = 20, rows: int = 4, block: int = 256) -> DataFrame:
     """One row per document of ``df`` (doc_id, text): n_shingles, component_id, kept.
 
     Links hold where 100 * |A and B| >= threshold_percent * |A or B| over full sets of ``shingle``-word shingles. With 20
     bands of 4 coordinates a pair at 0.75 shares no bucket with probability (1 - 0.75^4)^20 < 0.0006, closer pairs less.
 
     Work that a group of copies causes stays linear in it: documents with equal sets become one class first; then each
-    bucket's members are verified against its least member only. While the members of a bucket that belong to different
-    components still make many more pairs than members, up to ``star_turns`` turns verify them against another member drawn
-    for each bucket. Then all such pairs that earlier steps left open are looked at in blocks of signatures, and those whose
-    signatures don't rule out the threshold (agreement under 0.45 where 0.75 is needed: 7 standard deviations of an
-    80-coordinate signature) are verified on full sets. Pairs within a component are left out: they can't change it.
+    bucket's members are verified against its least member only. Where the other members of a bucket still belong to different
+    components, they and their full sets meet in blocks of ``block``, and all pairs that earlier steps left open are
+    looked at in memory: each in the first bucket that it shares, left out if it is connected meanwhile (such a pair
+    can't change components) or if its signatures rule out the threshold (agreement under 0.45 where 0.75 is needed: 7
+    standard deviations of an 80-coordinate signature). Only links leave a block, never pairs.
 
     Null texts and texts without words have empty sets and link with nothing. Rows with a null doc_id take no part in links
     and get a null component_id. Repeated doc_ids with the same text are one document listed twice.
@@ -89,49 +89,65 @@ def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int =
     comp = written(connected_components(sure), "star-components")
 
     # what the stars left open: buckets of three or more whose members are not all connected yet
-    tried, turn = stars, 0
-    while True:
-        named = shared.where("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = written(named.select("bucket", "rep", "component", "n"), "named-buckets")
-        parts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        split = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
-        split = written(split.select("bucket", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("open")), "open-buckets")
-        left = named.join(split.select("bucket"), "bucket")
-        total = split.agg(F.sum("open").alias("open"), F.sum("m").alias("m")).first()
-        if turn == star_turns or not total["m"] or total["open"] <= 4 * total["m"]:
-            break
-        turn += 1
-        # another center in each open bucket, drawn anew: members of a large group of near copies meet many of them
-        drawn = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), "rep", "component")).alias("c"))
-        drawn = drawn.select("bucket", F.col("c.rep").alias("c"), F.col("c.component").alias("cc"))
-        pairs = left.join(drawn, "bucket").where("component != cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "stars")
-        tried = written(tried.unionByName(pairs), "tried")
-        sure = written(sure.unionByName(verified(pairs, docs, threshold_percent, shingle)), "sure")
-        comp = written(connected_components(sure), "star-components")
-    left = left.join(keep.select("rep", "sig"), "rep").withColumn("g", F.ceil(F.col("n") / block).cast("int"))
+    named = shared.where("n > 2 and rep != center").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named.select("bucket", "rep", "component", "n"), "named-buckets")
+    split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+    left = written(named.join(split, "bucket"), "open-buckets")
+    members = written(left.select("rep").distinct(), "open-members")
+    few = members.count()
+    texts = docs.withColumnRenamed("doc_id", "rep").join(maybe_broadcast(members, few, 64), "rep", "left_semi").dropDuplicates(["rep"])
+
+    def full_sets(batches):
+        for b in batches:
+            yield from arrow_rows("rep long, shingles binary", [b.column(0), [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]])
+
+    known = keep.join(members, "rep").join(texts.select("rep", "text").mapInArrow(full_sets, "rep long, shingles binary"), "rep")
+    left = left.join(written(known, "open-sets"), "rep").withColumn("g", F.ceil(F.col("n") / block).cast("int"))
     left = left.withColumn("own", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    left = left.select("bucket", "rep", "component", "sig", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    left = left.select("bucket", "rep", "component", "sig", "bands", "shingles", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
-    def open_pairs(g: dict):
+    def open_links(g: dict):
         rep, c, own = g["rep"].to_numpy(), g["component"].to_numpy(), g["own"].to_numpy()
         one, two = np.flatnonzero(own == g["p"][0].as_py()), np.flatnonzero(own == g["q"][0].as_py())
         differ = (c[one][:, None] != c[two][None, :]) & ((rep[one][:, None] < rep[two][None, :]) if own.min() == own.max() else True)
-        if not differ.any():
+        i, j = np.nonzero(differ)
+        if not len(i):
             return None
+        i, j = one[i], two[j]
         sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        i, j = np.nonzero(differ)
+        keys = g["bands"].flatten().to_numpy().reshape(len(rep), -1)
         hit = np.zeros(len(i), bool)
         for at in range(0, len(i), 20_000):
-            s = slice(at, at + 20_000)
-            hit[s] = (sig[one[i[s]]] == sig[two[j[s]]]).mean(1) >= 0.6 * threshold_percent / 100
-        a, b = rep[one[i[hit]]], rep[two[j[hit]]]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    more = map_groups(left, ["bucket", "p", "q"], open_pairs, "a long, b long").distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "open-pairs")
-    sure = sure.unionByName(verified(more, docs, threshold_percent, shingle))
-    comp = written(connected_components(sure), "components")
+            x, y = i[at : at + 20_000], j[at : at + 20_000]
+            same = keys[x] == keys[y]
+            # a pair belongs to the first bucket that it shares
+            hit[at : at + 20_000] = (keys[x, same.argmax(1)] == g["bucket"][0].as_py()) & ((sig[x] == sig[y]).mean(1) >= 0.6 * threshold_percent / 100)
+        sets = g["shingles"]
+        held: dict[int, np.ndarray] = {}
+        root = {v: v for v in c.tolist()}
+
+        def find(v):
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        a, b = [], []
+        for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+            u, v = find(int(c[x])), find(int(c[y]))
+            if u == v:
+                continue
+            for k in (x, y):
+                if k not in held:
+                    held[k] = np.frombuffer(sets[k].as_py(), np.uint64)
+            n = common(held[x], held[y])
+            if 100 * n >= threshold_percent * (len(held[x]) + len(held[y]) - n):
+                root[max(u, v)] = min(u, v)
+                a.append(int(min(rep[x], rep[y]))), b.append(int(max(rep[x], rep[y])))
+        return (a, b) if a else None
+
+    more = written(map_groups(left, ["bucket", "p", "q"], open_links, "a long, b long"), "open-links")
+    comp = written(connected_components(sure.unionByName(more)), "components")
 
     classes = rep_of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "fp", F.col("n_shingles").cast("long").alias("n_shingles"))
