@@ -55,10 +55,11 @@ def vector_near_dups(df: DataFrame, threshold: float = 0.98, tables: int = 12, p
             ok, x = unit_rows(b.column(1))
             x = x.astype(kind)
             keep = np.ones(len(ok), bool)
-            ids, labels = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
-            keep &= np.array(b.column(0).is_valid())[ok] & np.array(labels.is_valid())[ok]
+            ids, labels = b.column(0), b.column(2)
+            keep &= np.array(ids.is_valid())[ok] & np.array(labels.is_valid())[ok]
             ok, x = ok[keep], x[keep]
-            yield from arrow_rows("vec_id long, label long, vec binary", [ids[ok].astype(np.int64), labels.cast(pa.int64()).take(pa.array(ok)), [r.tobytes() for r in x]])
+            at = pa.array(ok, pa.int64())
+            yield from arrow_rows("vec_id long, label long, vec binary", [ids.take(at), labels.take(at), [r.tobytes() for r in x]])
 
     base = columns(df, "vec_id", "embedding", "label")
     packed = written(base.mapInArrow(pack, "vec_id long, label long, vec binary"), "vectors")

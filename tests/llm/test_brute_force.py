@@ -94,6 +94,16 @@ def test_near_duplicate_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(a == i for a, _ in link), comp[i], comp[i] == i), i
 
 
+def test_large_vector_ids_beside_null_ones(spark):
+    from doclattice.llm.vector_dups import vector_near_dups
+
+    first, second, other = 2**53 + 1, 2**53 + 3, 2**53 + 5
+    rows = [(None, [1.0, 2.0], 0), (first, [1.0, 2.0], 0), (second, [1.0, 2.01], 0), (other, [1.0, 2.0], 1)]
+    got = vector_near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1)).collect()
+    want = {None: (0, None, None), first: (1, first, True), second: (1, first, False), other: (0, other, True)}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     from doclattice.llm.components import connected_components
 
