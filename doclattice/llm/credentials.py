@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import arrow_rows, columns, written
+from doclattice.llm.shared import arrow_rows, columns, small_batches, written
 
 KINDS = ("assign", "access", "hex", "format")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -208,6 +208,7 @@ def find_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
 
     Positions are code points, ends exclusive; ``redacted`` has [SECRET] in the place of each stretch that spans cover.
     A null text has no spans and stays null; each row counts on its own, repeated ones too."""
+    small_batches(docs.sparkSession)
     formats = formats or learn_formats(docs)
 
     @F.pandas_udf("counts array<long>, base string, spans string, redacted string")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import arrow_rows, columns
+from doclattice.llm.shared import arrow_rows, columns, small_batches
 
 #: N-grams in a profile, of a language and of a document.
 PROFILE = 300
@@ -140,6 +140,7 @@ def language_id(df: DataFrame) -> DataFrame:
     """``df`` with lang_pred, score and held_out: profiles learned from its text and lang outside the held-out fold.
 
     Every row is kept, with its other columns; repeated rows are learned from and predicted each."""
+    small_batches(df.sparkSession)
     out = held_out(F.col("`doc_id`"), 3, 1)
     profiles = learn_profiles(df.where(~out))
     found = df.withColumns({"held_out": out, "__p": identify(F.col("`text`"), profiles)})

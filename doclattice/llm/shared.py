@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is sent to every executor only when its rows were counted and stay below this many bytes.
 BROADCAST_BYTES = 64 << 20
+#: Rows travel to and from Python in batches of about this many bytes, so that a worker's memory doesn't depend on the texts' lengths.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +33,17 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """``spark`` with batches bounded by ``ARROW_BYTES``, unless it names a bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, so a lost executor costs no recomputation beyond it."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

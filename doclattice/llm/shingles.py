@@ -9,14 +9,16 @@ from doclattice.llm.shared import mix64
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept while there are not too many."""
+    """64-bit hashes of words; those of short words are kept while there are not too many, so a worker holds at most about 20 MB."""
 
-    LIMIT = 500_000
+    LIMIT, LONGEST = 100_000, 40
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = got
         return got
 
 

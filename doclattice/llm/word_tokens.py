@@ -24,9 +24,10 @@ def latin(kind: str) -> str:
 
 
 class Chunks(dict):
-    """Ids, as bytes of unsigned 32-bit integers, of stretches without white space."""
+    """Ids, as bytes of unsigned 32-bit integers, of stretches without white space; those of short ones are kept while there are not
+    too many, so a worker holds at most about 25 MB."""
 
-    LIMIT = 400_000
+    LIMIT, LONGEST = 100_000, 40
 
     def __init__(self, path: str):
         import tiktoken
@@ -44,10 +45,11 @@ class Chunks(dict):
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
         got = np.array([i for w in self.words(chunk) for i in self.merge(w.encode() + b"\xff")], "<u4").tobytes()
-        self[chunk] = got
+        if len(chunk) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[chunk] = got
         return got
 
     def ids(self, text: str | None) -> bytes:
