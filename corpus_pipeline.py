@@ -30,9 +30,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than a tenth of their source's documents hold go; documents of nothing but such lines go with them."""
-    kept = drop_frequent_lines(docs).where("n_dropped = 0 or n_dropped < n_lines")
-    return with_text(kept, F.col("kept_text"))
+    """Lines that more than a tenth of their source's documents hold go. Documents of nothing but such lines keep their text:
+    they may be copies of one document, of which the next stage keeps one."""
+    found = drop_frequent_lines(docs)
+    return with_text(found, F.when(F.col("n_dropped") < F.col("n_lines"), F.col("kept_text")).otherwise(F.col("text")))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
