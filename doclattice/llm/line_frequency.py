@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import columns, maybe_broadcast, written
+from doclattice.llm.shared import BROADCAST_BYTES, columns, maybe_broadcast, written
 
 SPACES = " \t\n\v\f\r"
 
@@ -29,31 +29,34 @@ def line_counts(pages: DataFrame, host: str = "source", text: str = "text") -> D
     return n.join(t, F.col("host").eqNullSafe(F.col("h"))).select("host", "key", "n_pages", "host_pages", (F.col("n_pages") / F.col("host_pages")).alias("ratio"))
 
 
-def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, host: str = "source", text: str = "text", few_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with further columns kept_text, n_lines, n_dropped: without the lines that more than ``max_ratio`` of the
     pages of their host contain, and at least ``min_pages`` of them.
 
     Lines are compared without the white space around them; kept lines stay as they are and in order; blank lines are
     never dropped. Counts cover all rows: pages are combined per line before the shuffle, and a host with a third of
     all pages is spread by its lines. The frequent lines (at most average lines / max_ratio for each host) are grouped
-    per host and sent to the scan if they are counted as few; else the documents' lines are joined by host and line.
+    per host and sent to the scan if they are counted as few (``few_bytes``); else the documents are written with a number
+    for each row and their lines are joined by host and line: both ways judge each row by its own lines and host.
     A null text stays null with 0 lines; rows with a null host count as one host. Repeated rows count as pages.
     """
     frequent = written(line_counts(docs, host, text).where((F.col("ratio") > max_ratio) & (F.col("n_pages") >= min_pages)).select("host", "key"), "frequent-lines")
     rows = frequent.count()
     lines = F.split(F.col(f"`{text}`"), "\n")
     hashed = F.transform(lines, lambda x: F.unhex(F.md5(F.encode(F.btrim(x, F.lit(SPACES)), "utf-8"))))
-    if rows * 48 <= 64 << 20:
+    if rows * 48 <= few_bytes:
         per_host = frequent.groupBy("host").agg(F.collect_list("key").alias("__keys")).withColumnRenamed("host", "__host")
         out = docs.join(F.broadcast(per_host), F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
         flags = F.when(F.col("__keys").isNull(), F.transform(lines, lambda x: F.lit(False))).otherwise(F.transform(hashed, lambda h: F.array_contains("__keys", h)))
         out = out.withColumn("__drop", flags).drop("__keys")
     else:
-        each = columns(docs, key, host, text).toDF("__id", "host", "t").select("__id", "host", F.posexplode(lines_of(F.col("t"))).alias("at", "line")).where("line != ''")
+        # the numbers depend on how rows fall into tasks, so both sides read them from one table
+        docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+        each = columns(docs, "__row", host, text).toDF("__id", "host", "t").select("__id", "host", F.posexplode(lines_of(F.col("t"))).alias("at", "line")).where("line != ''")
         each = each.select("__id", "host", "at", F.unhex(F.md5(F.encode("line", "utf-8"))).alias("key"))
         f = frequent.select(F.col("host").alias("h"), "key")
         found = each.join(f, (each["key"] == f["key"]) & each["host"].eqNullSafe(f["h"])).groupBy("__id").agg(F.collect_set("at").alias("__at"))
-        out = docs.join(found, F.col(f"`{key}`") == F.col("__id"), "left").drop("__id")
+        out = docs.join(found, F.col("__row") == F.col("__id"), "left").drop("__id", "__row")
         out = out.withColumn("__drop", F.transform(lines, lambda x, i: F.coalesce(F.array_contains("__at", i), F.lit(False)))).drop("__at")
     kept = F.filter(F.arrays_zip(lines.alias("x"), F.col("__drop").alias("d")), lambda z: ~z["d"])
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")

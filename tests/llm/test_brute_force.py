@@ -307,3 +307,21 @@ def test_empty_tables(spark):
         packing.pack_documents(docs, path), multi_index.nearest(vecs, F.col("vec_id") % 20 == 0), credentials.find_secrets(docs), byte_bpe.encode_documents(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     ):
         assert got.count() == 0
+
+
+def test_frequent_lines_of_null_and_repeated_ids(spark):
+    """Each row is judged by its own lines and source, whether the frequent lines are sent to the scan or joined."""
+    from doclattice.llm.line_frequency import drop_frequent_lines
+
+    rows = [(i, f"own {i}\nmenu\n\nfoot", "h0") for i in range(20)] + [(i, f"own {i}\nside", None) for i in range(20, 30)]
+    rows += [(None, "menu\nx", "h0"), (None, "y\n  side ", None), (3, "menu\nown 3\nside", "h0"), (3, "first\nmenu\nfoot", "h1"), (4, None, "h0"), (4, rows[4][1], "h0"), (7, "", "h0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    often = {"h0": {"menu", "foot"}, None: {"side"}, "h1": set()}
+    want = []
+    for i, t, h in rows:
+        lines = [] if t is None else t.split("\n")
+        gone = [x.strip() in often[h] for x in lines]
+        want.append((i, t, h, None if t is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), sum(x.strip() != "" for x in lines), sum(gone)))
+    for few_bytes in (64 << 20, -1):
+        got = [tuple(x) for x in drop_frequent_lines(df, few_bytes=few_bytes).select("doc_id", "text", "source", "kept_text", "n_lines", "n_dropped").collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), few_bytes
