@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What may be a credential without a pattern of its own.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+#: What may be a credential without a pattern of its own: runs from the shortest length that a labelled one has.
+LEAST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 LONG = 20
 #: Classes of characters, the automata's alphabet: digits, letters of hexadecimal numbers and others in both cases, signs, all else.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_.=-")
@@ -27,6 +28,7 @@ ELSE = len(CLASSES)
 CLASS_OF = np.full(256, ELSE, np.uint8)
 for _i, _c in enumerate(CLASSES):
     CLASS_OF[list(_c.encode())] = _i
+CLASS_TABLE = CLASS_OF.tobytes()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -35,15 +37,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     low = text.lower()
     found = []
     if any(w in low for w in WORDS):
-        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST]
     if max(map(len, text.split()), default=0) >= LONG:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)] if "AKIA" in text else []
         found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     return sorted(found)
 
 
+def class_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(CLASS_TABLE)
+
+
 def classes(text: str) -> np.ndarray:
-    return CLASS_OF[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    return np.frombuffer(class_bytes(text), np.uint8)
 
 
 @dataclass
@@ -138,23 +144,34 @@ class Formats:
     automata: list[Automaton]
     chain: np.ndarray
     margin: float
+    #: Gains of short strings by their classes: ordinary words have few different ones.
+    held: dict[bytes, float] = field(default_factory=dict)
 
     def gain(self, text: str) -> float:
         """By how much (in nats) the likeliest format explains the string better than ordinary text does."""
         if not self.automata:
             return -math.inf
-        c = classes(text)
+        known = class_bytes(text)
+        if (got := self.held.get(known)) is not None:
+            return got
+        c = np.frombuffer(known, np.uint8)
         around = np.concatenate([[ELSE], c, [ELSE]])
-        return max(a.log_likelihood(c) for a in self.automata) - float(self.chain[around[:-1], around[1:]].sum())
+        got = max(a.log_likelihood(c) for a in self.automata) - float(self.chain[around[:-1], around[1:]].sum())
+        if len(known) <= 64:
+            if len(self.held) >= 100_000:
+                self.held.clear()
+            self.held[known] = got
+        return got
 
     def spans(self, text: str | None) -> list[tuple[int, int, int, str]]:
         """The base spans, and candidates that no base span touches and that gain at least ``margin``, by start and kind."""
         text = text or ""
         found = base_spans(text)
-        if max(map(len, text.split()), default=0) < LONG:
+        likely = {x for x in set(CANDIDATE.findall(text)) if self.gain(x) >= self.margin}
+        if not likely:
             return found
-        more = [(m.start(), 3, m.end(), m[0]) for m in CANDIDATE.finditer(text) if all(m.end() <= s or e <= m.start() for s, _, e, _ in found)]
-        return sorted(found + [x for x in more if self.gain(x[3]) >= self.margin])
+        more = [(m.start(), 3, m.end(), m[0]) for m in CANDIDATE.finditer(text) if m[0] in likely and all(m.end() <= s or e <= m.start() for s, _, e, _ in found)]
+        return sorted(found + more)
 
 
 def learn_formats(docs: DataFrame, strings_per_kind: int = 1000, margin: float = 10.0) -> Formats:

@@ -325,3 +325,17 @@ def test_frequent_lines_of_null_and_repeated_ids(spark):
     for few_bytes in (64 << 20, -1):
         got = [tuple(x) for x in drop_frequent_lines(df, few_bytes=few_bytes).select("doc_id", "text", "source", "kept_text", "n_lines", "n_dropped").collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want)), few_bytes
+
+
+def test_short_formats_are_learned(spark):
+    """Bare credentials of fewer than 20 characters in the format of labelled ones are found; ordinary words, numbers and names are not."""
+    from doclattice.llm.credentials import find_secrets
+
+    r = random.Random(9)
+    key = lambda: "".join(r.choice("ABCDEF") + r.choice("0123456789") + r.choice("ghijkmnp") for _ in range(4))
+    words = lambda: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 11))) for _ in range(80))
+    plain = "Information 2024 on http://example.com/index.html by McDonald, 1234567890"
+    rows = [(i, f"{words()}. {plain} password: {key()} {words()}") for i in range(80)] + [(100, f"{words()} {key()} end"), (101, f"x {key()}"), (102, f"{words()} {plain}")]
+    got = {x.doc_id: x for x in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_format == 1 and got[i].redacted == rows[i - 20][1].replace(rows[i - 20][1].split()[-2 if i == 100 else -1], "[SECRET]") for i in (100, 101))
+    assert all(got[i].n_format == 0 for i in (*range(80), 102))
