@@ -71,15 +71,15 @@ class Automaton:
         return total + self.end[state]
 
 
-def infer(strings: list[tuple[np.ndarray, int]], alpha: float = 0.01, longest: int = 128) -> Automaton:
+def infer(strings: list[tuple[np.ndarray, int]], alpha: float = 0.01) -> Automaton:
     """State merging over the prefix tree of the strings (symbols, number): states in order of depth are merged into the first
     accepted state from which they don't differ, by Hoeffding's bound at level ``alpha``, in the share of ends and of each
-    symbol, nor do the states below them; what no accepted state matches is accepted. Strings are cut at ``longest`` symbols."""
+    symbol, nor do the states below them; what no accepted state matches is accepted. The tree holds whole strings."""
     size = ELSE + 1
     seen, ends, child, flow = [0], [0], [[-1] * size], [[0] * size]
     for symbols, n in strings:
         at = 0
-        for s in symbols[:longest].tolist():
+        for s in symbols.tolist():
             seen[at] += n
             flow[at][s] += n
             if child[at][s] < 0:

@@ -339,3 +339,15 @@ def test_short_formats_are_learned(spark):
     got = {x.doc_id: x for x in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i].n_format == 1 and got[i].redacted == rows[i - 20][1].replace(rows[i - 20][1].split()[-2 if i == 100 else -1], "[SECRET]") for i in (100, 101))
     assert all(got[i].n_format == 0 for i in (*range(80), 102))
+
+
+def test_long_strings_are_learned_to_their_end():
+    """Strings of a fixed length over 128 end there, not at a shorter length."""
+    from doclattice.llm.credentials import classes, infer
+
+    r = random.Random(10)
+    key = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    tail = "ABCDEF" * 4
+    a = infer([(classes(key(140) + tail), 1) for _ in range(300)])
+    whole, cut = a.log_likelihood(classes(key(140) + tail)), a.log_likelihood(classes(key(128)))
+    assert whole > cut + 2 and a.log_likelihood(classes(key(140) + tail[:-1] + "z")) < whole - 5
