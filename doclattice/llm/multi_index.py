@@ -90,17 +90,20 @@ def nearest(df: DataFrame, is_query, top: int = 20, recall: float = 0.95, k: int
     blocks of ``block`` rows, so that a full cell is many tasks and a group's inner products are a bounded matrix.
     Scores are sums in double precision of the original vectors' products; equal scores go to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components, and rows with a null vec_id, take no part. With fewer other rows than ``top``
+    Vectors that are null, zero or hold null or non-finite components, those of another length than most such vectors of the
+    whole table (of equally frequent lengths the least counts), and rows with a null vec_id, take no part. With fewer other rows than ``top``
     all are returned, with one row or none nothing. Repeated vec_ids are entries of their own, but never of a query of the same id.
     """
     table = df.select(F.col("`vec_id`").alias("vec_id"), F.col("`embedding`").alias("embedding"), is_query.alias("q")).where("vec_id is not null")
 
     def pack(batches):
         for b in batches:
-            ok, x = unit_rows(b.column(1))
-            yield from arrow_rows("vec_id long, q boolean, vec binary", [b.column(0).take(pa.array(ok)), b.column(2).take(pa.array(ok)), [r.tobytes() for r in x]])
+            for ok, x in unit_rows(b.column(1)):
+                yield from arrow_rows("vec_id long, q boolean, vec binary", [b.column(0).take(pa.array(ok)), b.column(2).take(pa.array(ok)), [r.tobytes() for r in x]])
 
     rows = written(table.mapInArrow(pack, "vec_id long, q boolean, vec binary"), "vectors")
+    if common := rows.groupBy(F.length("vec").alias("size")).count().orderBy(F.desc("count"), "size").first():
+        rows = rows.where(F.length("vec") == common["size"])
     names = "query_id long, rank int, vec_id long, score double"
     n, m = rows.count(), rows.where("q").count()
     if n < 2 or not m:

@@ -11,40 +11,37 @@ from doclattice.llm.components import connected_components
 from doclattice.llm.shared import arrow_rows, columns, map_groups, written
 
 
-def unit_rows(emb: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the usable rows (not null, not zero, all components finite, the most frequent length) and their
-    vectors as float64. Rows of other lengths than the first usable row's are treated like null ones."""
-    good, rows = [], []
-    width = None
-    for i, v in enumerate(emb.to_pylist() if not isinstance(emb, pa.ListArray) or emb.null_count or not len(emb) else ()):
-        if v:
-            x = np.array([np.nan if c is None else c for c in v], np.float64)
-            if np.isfinite(x).all() and x.any() and (width is None or len(x) == width):
-                width = len(x)
-                good.append(i)
-                rows.append(x)
+def unit_rows(emb: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors, the indices of the usable rows (not null, not zero, all components finite) and their
+    vectors as float64."""
     if isinstance(emb, pa.ListArray) and not emb.null_count and len(emb):
         sizes = np.diff(emb.offsets.to_numpy())
-        flat = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        if len(sizes) and (sizes == sizes[0]).all() and sizes[0]:
-            x = flat.reshape(len(sizes), -1)
+        if (sizes == sizes[0]).all() and sizes[0]:
+            x = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
             ok = np.isfinite(x).all(1) & x.any(1)
-            return np.flatnonzero(ok), x[ok]
-        return unit_rows(pa.array(emb.to_pylist() + [None], emb.type))
-    return np.array(good, np.int64), np.array(rows, np.float64).reshape(len(rows), width or 0)
+            return [(np.flatnonzero(ok), x[ok])]
+    found: dict[int, tuple[list, list]] = {}
+    for i, v in enumerate(emb.to_pylist()):
+        if v:
+            x = np.array([np.nan if c is None else c for c in v], np.float64)
+            if np.isfinite(x).all() and x.any():
+                at, rows = found.setdefault(len(x), ([], []))
+                at.append(i)
+                rows.append(x)
+    return [(np.array(at, np.int64), np.array(rows, np.float64)) for at, rows in found.values()]
 
 
 def vector_near_dups(df: DataFrame, threshold: float = 0.98, tables: int = 12, projections: int = 4, width: float = 1.2, seed: int = 11, block: int = 1024) -> DataFrame:
     """One row per vector of ``df`` (vec_id, embedding, label): n_links, component_id, kept.
 
-    h(v) = floor((a . v + u) / width) with Gaussian ``a`` over normalised vectors; ``projections`` of them and the label
-    key a bucket, ``tables`` times. At cosine 0.98 (distance 0.2) a projection agrees with probability 0.867, so all
+    h(v) = floor((a . v + u) / width) with Gaussian ``a`` over normalised vectors; ``projections`` of them, the label and
+    the length key a bucket, ``tables`` times. At cosine 0.98 (distance 0.2) a projection agrees with probability 0.867, so all
     tables miss a pair with (1 - 0.867^4)^12 < 5e-5; closer pairs less. Within a bucket all cosines are computed in
     double precision in blocks of ``block`` vectors, so a hot bucket is many small tasks. A pair counts in the first
     table where it meets. Links leave a bucket as counts and a spanning forest, never as pairs.
 
     Equal vectors of a label are compared once and count with their number. Null labels, null vectors, zero vectors
-    and those with null or non-finite components link with nothing; rows with a null vec_id take no part and are returned
+    and those with null or non-finite components link with nothing, and vectors of different lengths never with one another; rows with a null vec_id take no part and are returned
     with component null. Repeated vec_ids are separate copies that count as links of one another.
     """
     rng_args = (seed, tables, projections, width)
@@ -52,14 +49,13 @@ def vector_near_dups(df: DataFrame, threshold: float = 0.98, tables: int = 12, p
 
     def pack(batches):
         for b in batches:
-            ok, x = unit_rows(b.column(1))
-            x = x.astype(kind)
-            keep = np.ones(len(ok), bool)
             ids, labels = b.column(0), b.column(2)
-            keep &= np.array(ids.is_valid())[ok] & np.array(labels.is_valid())[ok]
-            ok, x = ok[keep], x[keep]
-            at = pa.array(ok, pa.int64())
-            yield from arrow_rows("vec_id long, label long, vec binary", [ids.take(at), labels.take(at), [r.tobytes() for r in x]])
+            for ok, x in unit_rows(b.column(1)):
+                x = x.astype(kind)
+                keep = np.array(ids.is_valid())[ok] & np.array(labels.is_valid())[ok]
+                ok, x = ok[keep], x[keep]
+                at = pa.array(ok, pa.int64())
+                yield from arrow_rows("vec_id long, label long, vec binary", [ids.take(at), labels.take(at), [r.tobytes() for r in x]])
 
     base = columns(df, "vec_id", "embedding", "label")
     packed = written(base.mapInArrow(pack, "vec_id long, label long, vec binary"), "vectors")
@@ -84,14 +80,14 @@ def vector_near_dups(df: DataFrame, threshold: float = 0.98, tables: int = 12, p
                 n = len(rows)
                 take = np.repeat(rows, tables)
                 yield from arrow_rows(
-                    "label long, tab int, bucket long, rep long, copies long, vec binary, sig binary",
-                    [b.column(0).take(pa.array(take)), np.tile(np.arange(tables, dtype=np.int32), n), sig.reshape(-1), b.column(2).take(pa.array(take)), b.column(3).take(pa.array(take)), b.column(1).take(pa.array(take)), [s for s in (r.tobytes() for r in sig) for _ in range(tables)]],
+                    "label long, tab int, bucket long, dim int, rep long, copies long, vec binary, sig binary",
+                    [b.column(0).take(pa.array(take)), np.tile(np.arange(tables, dtype=np.int32), n), sig.reshape(-1), np.full(n * tables, x.shape[1], np.int32), b.column(2).take(pa.array(take)), b.column(3).take(pa.array(take)), b.column(1).take(pa.array(take)), [s for s in (r.tobytes() for r in sig) for _ in range(tables)]],
                 )
 
-    rows = reps.select("label", "vec", "rep", "copies").mapInArrow(hashed, "label long, tab int, bucket long, rep long, copies long, vec binary, sig binary")
+    rows = reps.select("label", "vec", "rep", "copies").mapInArrow(hashed, "label long, tab int, bucket long, dim int, rep long, copies long, vec binary, sig binary")
     rows = written(rows, "buckets")
-    sizes = rows.groupBy("label", "tab", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["label", "tab", "bucket"]).withColumn("g", F.ceil(F.col("n") / block).cast("int"))
+    sizes = rows.groupBy("label", "tab", "bucket", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(sizes, ["label", "tab", "bucket", "dim"]).withColumn("g", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("n", "g", "other", "label_")
 
@@ -125,7 +121,7 @@ def vector_near_dups(df: DataFrame, threshold: float = 0.98, tables: int = 12, p
         hit = np.union1d(one[m.any(1)], two[m.any(0)])
         return rep[hit], count[hit], root[hit]
 
-    found = written(map_groups(rows, ["label", "tab", "bucket", "p", "q"], linked, "rep long, n long, root long"), "vector-links")
+    found = written(map_groups(rows, ["label", "tab", "bucket", "dim", "p", "q"], linked, "rep long, n long, root long"), "vector-links")
     degree = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select("rep", "root").distinct(), "rep", "root")
     classes = reps.join(degree, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")

@@ -351,3 +351,26 @@ def test_long_strings_are_learned_to_their_end():
     a = infer([(classes(key(140) + tail), 1) for _ in range(300)])
     whole, cut = a.log_likelihood(classes(key(140) + tail)), a.log_likelihood(classes(key(128)))
     assert whole > cut + 2 and a.log_likelihood(classes(key(140) + tail[:-1] + "z")) < whole - 5
+
+
+def test_vectors_of_other_lengths(spark):
+    """Short vectors at the head of the only batch take no others out: all link within their length, and search keeps the most frequent one."""
+    from doclattice.llm.multi_index import nearest
+    from doclattice.llm.vector_dups import vector_near_dups
+
+    rng = np.random.default_rng(12)
+    x = [rng.standard_normal(4) for _ in range(3)] + [rng.standard_normal(8) for _ in range(60)]
+    x[2], x[62], x[40] = x[1] * 2, x[30] * 3, x[30] + 0.001
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)] + [(70, [float("inf")] * 4, 0), (71, None, 0), (72, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_near_dups(df).collect()}
+    cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98
+    link = [(a, b) for a in range(63) for b in range(63) if a != b and cos(x[a], x[b])]
+    comp = components(63, link)
+    assert (1, 2) in link and (30, 40) in link and (30, 62) in link
+    assert got == {i: (sum(a == i for a, _ in link), comp[i]) for i in range(63)} | {i: (0, i) for i in (70, 71, 72)}
+    y = np.array(x[3:])
+    s = y @ y.T
+    np.fill_diagonal(s, -np.inf)
+    want = {(q, k + 1): int(v) + 3 for q in (20, 40, 60) for k, v in enumerate(np.argsort(-s[q - 3])[:20])}
+    assert {(r.query_id, r["rank"]): r.vec_id for r in nearest(df, F.col("vec_id") % 20 == 0).collect()} == want
