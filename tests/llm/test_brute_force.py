@@ -374,3 +374,21 @@ def test_vectors_of_other_lengths(spark):
     np.fill_diagonal(s, -np.inf)
     want = {(q, k + 1): int(v) + 3 for q in (20, 40, 60) for k, v in enumerate(np.argsort(-s[q - 3])[:20])}
     assert {(r.query_id, r["rank"]): r.vec_id for r in nearest(df, F.col("vec_id") % 20 == 0).collect()} == want
+
+
+def test_frequent_lines_as_sql_where_lines_go(spark):
+    """The SQL of op6 on a table in which it drops lines (on sf0.001 it drops none)."""
+    import os
+
+    from doclattice.llm.queries import ORACLES, QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    got = QUERIES["op6_frequent_lines"](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.sql(ORACLES["op6_frequent_lines"]).select(*got.columns).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert sum(x[got.columns.index("n_dropped")] for x in want) > 50
