@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,23 +11,45 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is sent to every executor only when its rows were counted and stay below this many bytes.
 BROADCAST_BYTES = 64 << 20
 #: Rows travel to and from Python in batches of about this many bytes, so that a worker's memory doesn't depend on the texts' lengths.
 ARROW_BYTES = 4 << 20
+ROW_GROUP_BYTES = 32 << 20
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of this process where none is set (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where none is set, a temporary one of this process, on a
+    local master only: on a cluster each executor would write to its own disk, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="doclattice-")
-        atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="doclattice-")
+        atexit.register(shutil.rmtree, _LOCAL[app][7:], ignore_errors=True)
+    return _LOCAL[app]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder in whatever store Spark reaches it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application have written to the shared folder. DataFrames that operators returned
+    read them, so call it when their results are written elsewhere."""
+    delete_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -34,7 +57,8 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """``spark`` with batches bounded by ``ARROW_BYTES``, unless it names a bound itself."""
+    """``spark`` with batches bounded by ``ARROW_BYTES``, unless it names a bound itself. It is a default that stays set, the only
+    setting that operators touch: Spark reads it when a plan that an operator returned is run, which is the caller's moment."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, ARROW_BYTES)
@@ -45,20 +69,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, so a lost executor costs no recomputation beyond it."""
     spark = small_batches(df.sparkSession)
     path = table_path(spark, name)
-    df.write.parquet(path)
+    # writers hold a row group and readers a batch within one, so small ones bound the memory for rows of long values
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size.row.check.min", 10).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def places(df: DataFrame, names: Sequence[str]) -> list[int]:
+    """Where the named columns are: by exact name, else in any case."""
+    low = [c.lower() for c in df.columns]
+    return [df.columns.index(n) if n in df.columns else low.index(n.lower()) for n in names]
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns that an operator reads, so that further ones of any name can't clash."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
+    """Only the columns that an operator reads, taken by their places, so that further ones of any name (in another case, too)
+    can't clash."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"c{i}").alias(n) for i, n in zip(places(df, names), names, strict=True)))
+
+
+def beside(df: DataFrame, names: Sequence[str], make: Callable[..., tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """``df`` with further columns. ``make`` takes a frame of the same rows, and the columns ``names`` there; it returns a frame with at
+    least its columns and the new columns by name. Columns of ``df`` that have a new one's name, in any case, are left out."""
+    own = [f"__own{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*own)
+    got, new = make(plain, *(F.col(own[i]) for i in places(df, names)))
+    taken = {n.lower() for n in new}
+    kept = [(o, c) for o, c in zip(own, df.columns, strict=True) if c.lower() not in taken]
+    return got.select(*(F.col(o) for o, _ in kept), *(c.alias(f"__new{i}") for i, c in enumerate(new.values()))).toDF(*(c for _, c in kept), *new)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are small; as it is, for a shuffle join, beyond that."""
+    """``df`` with a broadcast hint if its counted rows are small; as it is, for a shuffle join, beyond that. ``row_bytes`` is what a
+    row takes in the built hash relation, about 64 bytes more than its values."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, n: str = "n", most: int = 1000) -> DataFrame:
+    """``rows`` with ``found``, the struct of the row of ``table`` (a written table with each key once) for their ``key``, or null.
+
+    ``n`` of the table says how many rows a key has. A key with more than 1 / ``most`` of all of them is hot: fewer than ``most`` keys
+    can be, so these are sent to the rows whatever the input. Rows of hot keys and of null ones go through the
+    shuffle by ``spread``, a column of the key's type that differs from row to row; what they meet there isn't used."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    as_found = lambda df, name, at: df.select(F.col(key).alias(at), F.struct(*(c for c in df.columns if c != key)).alias(name))
+    hot = table.where(F.col(n) > total / most)
+    out = rows.join(F.broadcast(as_found(hot, "__hot", key)), key, "left")
+    out = out.withColumn("__key", F.when(F.col(key).isNull() | F.col("__hot").isNotNull(), spread).otherwise(F.col(key)))
+    out = out.join(as_found(table, "__cold", "__key"), "__key", "left")
+    found = F.when(F.col("__hot").isNotNull(), F.col("__hot")).when(F.col(key).isNotNull(), F.col("__cold"))
+    return out.withColumn("found", found).drop("__hot", "__cold", "__key")
+
+
 def schema_of(ddl: str) -> pa.Schema:
     """The Arrow schema of a few column types that the operators emit."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}

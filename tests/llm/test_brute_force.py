@@ -73,6 +73,36 @@ def test_near_duplicate_documents(spark, docs):
             assert r.component_id is None
 
 
+def test_near_duplicates_of_repeated_ids_and_blocks(spark, monkeypatch):
+    """Rows of one doc_id with other texts are judged each by its own text; blocks of any size and the signatures' first look change nothing."""
+    from doclattice.llm import minhash_dups
+
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(30)]
+    base = [[r.choice(vocab) for _ in range(40)] for _ in range(12)]
+    rows = [(1000 + i, base[0]) for i in range(3)]
+    for i in range(400):
+        t = list(base[i % 12])
+        for _ in range(r.choice([0, 1, 1, 2, 3, 12])):
+            t[r.randrange(len(t))] = r.choice(vocab)
+        rows.append((i if i % 40 else 7, t))
+    rows = [(i, " ".join(t)) for i, t in rows] + [(7, ""), (7, None), (401, "word " * 400_000), (402, "word " * 300_000), (403, " ".join(f"x{i % 90_000}" for i in range(200_000)))]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, TEXT string, rep string").repartition(5)
+    texts = sorted({t for _, t in rows if shingles(t)})
+    least = {t: min(i for i, x in rows if x == t) for t in texts}
+    sets = {t: shingles(t) for t in texts}
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if least[texts[a]] == least[texts[b]] or 100 * len(sets[texts[a]] & sets[texts[b]]) >= 75 * len(sets[texts[a]] | sets[texts[b]])]
+    comp = components(len(texts), links)
+    first: dict = {}
+    for t, c in zip(texts, comp, strict=True):
+        first[c] = min(first.get(c, 1 << 60), least[t])
+    want = {t: first[c] for t, c in zip(texts, comp, strict=True)}
+    expected = sorted((i, len(shingles(t)), want.get(t, i), want.get(t, i) == i) for i, t in rows)
+    monkeypatch.setattr(minhash_dups, "GROUP_BYTES", 1000)
+    for block in (2, 256):
+        assert sorted(map(tuple, minhash_dups.minhash_near_dups(df, block=block).collect())) == expected, block
+
+
 def test_near_duplicate_vectors(spark):
     from doclattice.llm.vector_dups import vector_near_dups
 
