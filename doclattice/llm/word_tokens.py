@@ -2,7 +2,9 @@
 
 Words repeat, so each distinct stretch between white space is encoded once per worker and kept. Its words are encoded by
 the merge ranks of the same file in ``tiktoken``'s merge loop: the end-of-word mark is the byte 0xFF, which no UTF-8 text
-holds. Texts with other characters than the table below goes to the library itself."""
+holds. Texts with other characters than the table below, as they are or in lower case, and texts with the literal of a special
+token go to the library itself: ids are those of the plain call ``encode(text, add_special_tokens=False)``, in which such a
+literal is its token."""
 
 from __future__ import annotations
 
@@ -34,11 +36,11 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.literals = tuple(sorted(special))
         ranks = {bytes(byte[c] for c in w.removesuffix("</w>")) + b"\xff" * w.endswith("</w>"): i for w, i in vocab.items() if w not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         letters, numbers = latin("L"), latin("N")
@@ -55,8 +57,9 @@ class Chunks(dict):
     def ids(self, text: str | None) -> bytes:
         """The whole text's ids without special tokens, as little-endian unsigned 32-bit integers."""
         text = text or ""
-        if PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, text.lower().split()))
+        low = text.lower()
+        if PLAIN.fullmatch(text) and PLAIN.fullmatch(low) and not any(x in text for x in self.literals):
+            return b"".join(map(self.__getitem__, low.split()))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 

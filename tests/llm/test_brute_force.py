@@ -150,7 +150,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -211,14 +210,27 @@ def test_byte_bpe(spark, docs):
     assert (d.n_tokens, d.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
 
 
+def test_word_ids_as_the_library():
+    """All code points below 0x300, capitals whose lower case lies beyond the table, and literals of special tokens."""
+    from doclattice.llm.word_tokens import chunks
+
+    ids, own = library("word_bpe_49k.json"), chunks(tokenizer("word_bpe_49k.json")).ids
+    r = random.Random(22)
+    texts = [chr(c) for c in range(0x300)] + [f"a{chr(c)}b {chr(c).upper()}x" for c in range(0x300)] + ["Ɓarawo", "x<|endoftext|>y", "<|startoftext|> <|ENDOFTEXT|>", "\u212a \u2c7e ẞ", "İ"]
+    for top in (0x80, 0x250, 0x300, 0x2000):
+        texts += ["".join(chr(r.choice([32, r.randrange(top), r.randrange(65, 123)])) for _ in range(r.randrange(40))) for _ in range(2000)]
+    assert [t for t in texts if np.frombuffer(own(t), "<u4").tolist() != ids(t)] == []
+
+
 @pytest.mark.parametrize("block", [1, 7, 4096])
 def test_token_scan(spark, docs, block, tmp_path):
     from doclattice.llm.token_scan import scan_flat, token_counts, write_flat
 
     path, folder = tokenizer("word_bpe_49k.json"), f"file://{tmp_path}/flat"
     small = docs.where("length(coalesce(text, '')) < 60")
-    names = write_flat(small, folder, path, 49407)
-    got = names.join(scan_flat(spark, folder, 49407, block=block), ["shard", "nth"]).collect()
+    names = write_flat(small, folder, path, 0xFFFF)
+    np.array([7, 0xFFFF, 0xFFFF], "<u2").tofile(tmp_path / "flat/part-000000-0.bin")  # of an attempt that wasn't committed
+    got = names.join(scan_flat(spark, folder, 0xFFFF, block=block), ["shard", "nth"]).collect()
     ids = library("word_bpe_49k.json")
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(r.doc_id), len(ids(r.text))) for r in small.collect())
     (tmp_path / "more").mkdir()
