@@ -17,7 +17,9 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int, dtype: st
     """Writes ``docs`` (doc_id, text) as flat files of ids, each document's closed by ``eod``, one file a task; returns a written
     table (shard, nth, doc_id) of what document is which of its file.
 
-    A file gets its name when it is whole, so that a task that runs again replaces its earlier file by an equal one."""
+    Each attempt of a task writes a file of its own name, which it gets when it is whole, and names it in its rows of the
+    table. So the table only names files of attempts that Spark has committed; a file of another attempt is whole, too, but
+    no document's."""
     top = np.iinfo(np.dtype(dtype)).max
     if eod > top:
         raise ValueError(f"the id {eod} doesn't fit {dtype}")
@@ -27,11 +29,10 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int, dtype: st
 
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
-        part = TaskContext.get().partitionId()
-        shard = f"{at}/part-{part:06d}.bin"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         encode = chunks(tokenizer).ids
         nth, out = 0, None
-        tmp = f"{at}/_{uuid.uuid4().hex}.tmp"
+        tmp = f"{at}/_{name}.tmp"
         for b in batches:
             out = out or store.open_output_stream(tmp)
             for t in b.column(1).to_pylist():
@@ -39,11 +40,11 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int, dtype: st
                 if len(ids) and (ids.max() > top or (ids == eod).any()):
                     raise ValueError("an id of the text doesn't fit the file or is the end-of-document id")
                 out.write(np.append(ids, eod).astype(dtype).tobytes())
-            yield from arrow_rows("shard string, nth long, doc_id long", [[f"part-{part:06d}.bin"] * b.num_rows, np.arange(nth, nth + b.num_rows), b.column(0)])
+            yield from arrow_rows("shard string, nth long, doc_id long", [[f"{name}.bin"] * b.num_rows, np.arange(nth, nth + b.num_rows), b.column(0)])
             nth += b.num_rows
         if out:
             out.close()
-            store.move(tmp, shard)
+            store.move(tmp, f"{at}/{name}.bin")
 
     return written(columns(docs, "doc_id", "text").mapInArrow(write, "shard string, nth long, doc_id long"), "manifest")
 
@@ -89,10 +90,11 @@ def scan_flat(spark: SparkSession, folder: str, eod: int, dtype: str = "<u2", bl
     return whole.unionByName(tail.withColumn("ended", F.lit(False)))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, eod: int = 49407, dtype: str = "<u2") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, eod: int = 0xFFFF, dtype: str = "<u2") -> DataFrame:
     """(doc_id, n_tokens) for each row of ``docs``: written as flat files in the shared folder, then counted by scanning these.
 
-    A null or empty text has 0 tokens. Repeated and null doc_ids keep their rows."""
+    ``eod`` closes a document in the files; it has to be an id that no text has, so the default lies beyond the vocabulary. A null
+    or empty text has 0 tokens. Repeated and null doc_ids keep their rows. Further columns are not read."""
     spark = docs.sparkSession
     folder = table_path(spark, "flat")
     names = write_flat(docs, folder, tokenizer, eod, dtype)
