@@ -209,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
     The pieces are written once; then only the numbers of pieces by length reach the driver (at most ``capacity`` rows),
     where the plan is made. A piece's place among those of its length is its number in its task plus a prefix sum
     over tasks, so no length's pieces need to meet in one task. A null text is like an empty one: one piece of ``end``
-    alone. Every row counts, repeated and null doc_ids too. No rows give none.
+    alone. Every row counts, repeated and null doc_ids too. No rows give none. Further columns are not read.
     """
     table = written(pieces(docs, tokenizer, capacity, end, with_ids), "pieces")
     parts = written(table.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
     places = plan(counts, capacity)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = parts.select("part", "length", before.alias("before"))
-    rows = table.join(maybe_broadcast(base, parts.count(), 32), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("before"))
+    rows = table.join(maybe_broadcast(base, parts.count(), 128), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("before"))
     names = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
     key = (places[:, 0] << 48) | places[:, 1]
 
