@@ -19,7 +19,9 @@ from doclattice.llm.shared import columns, map_groups, schema_of, written
 from doclattice.llm.word_tokens import latin
 
 #: Characters of text in one block of documents, and of one piece of words sent between tasks.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 10_000_000
+#: Distinct words that a bucket's task remembers, about 60 MB; with more in one bucket, some are encoded again.
+MOST_WORDS = 400_000
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0"
 
 
@@ -125,7 +127,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0
     1. Texts are exploded into pre-tokens with positions, in blocks of documents. A block's distinct words are combined and
        divided by a hash of the word into ``buckets``.
     2. The words go to their buckets: one row for a block and bucket, so a word that is everywhere adds one entry for each
-       block and every bucket has the same number of rows. A bucket encodes each distinct word once, by the merge ranks.
+       block and every bucket has the same number of rows. A bucket encodes each distinct word once, by the merge ranks (a
+       bucket of over ``MOST_WORDS`` distinct words forgets and encodes some again, so that its memory is bounded).
     3. The ids go back to their blocks, where they meet the positions, and each document's ids are put together in order.
     4. Decoding looks the ids up in the token-byte table, of the vocabulary's size.
 
@@ -133,7 +136,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0
     is written. Both passes have to see the same rows in the same order: ``stable`` states that ``docs`` is a scan of files that
     don't change; else its rows are written first. Each block's words carry a digest in both passes, so that a
     difference is an error and never a wrong result. A null text is like an empty one: no ids. Every row is returned, repeated and
-    null doc_ids too.
+    null doc_ids too. Further columns are not read.
     """
     spark = docs.sparkSession
     rows = columns(docs, "doc_id", "text")
@@ -188,6 +191,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0
                 out = []
                 for w in unpacked(blob):
                     if (x := known.get(w)) is None:
+                        if len(known) >= MOST_WORDS:
+                            known.clear()
                         known[w] = x = np.array(encode(w), "<u2" if small else "<u4").tobytes()
                     out.append(x)
                 yield batch([block], [bucket], [packed(out)], [None])
