@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import arrow_rows, columns, small_batches
+from doclattice.llm.shared import arrow_rows, beside, columns, small_batches, written
 
 #: N-grams in a profile, of a language and of a document.
 PROFILE = 300
@@ -20,32 +20,29 @@ UNKNOWN = "und"
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Code points below 0x250: a number from 1 for each letter, else 0."""
-    t = np.array([chr(c).isalpha() for c in range(0x250)])
-    return np.where(t, np.cumsum(t), 0).astype(np.int64)
+    """Whether code points below 0x250 are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x250)])
 
 
 def letter_codes(text: str) -> np.ndarray:
-    """Numbers of 10 bits for letters, with one 0 for each run of other characters, and at both ends. Letters outside
-    the Latin blocks share the upper half of the numbers by their code points."""
+    """The code points of letters in lower case, with one 0 for each run of other characters, and at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _letters()
-    out = table[np.minimum(points, 0x24F)]
+    letter = _letters()[np.minimum(points, 0x24F)]
     high = points >= 0x250
     if high.any():
         kinds = np.unique(points[high])
-        letter = np.array([chr(c).isalpha() for c in kinds])
-        out[high] = np.where(letter, 512 + kinds.astype(np.int64) % 512, 0)[np.searchsorted(kinds, points[high])]
-    out = np.concatenate([[0], out, [0]])
+        letter[high] = np.array([chr(c).isalpha() for c in kinds])[np.searchsorted(kinds, points[high])]
+    out = np.concatenate([[0], np.where(letter, points, 0).astype(np.int64), [0]])
     return out[np.append(True, (out[1:] != 0) | (out[:-1] != 0))]
 
 
 def grams(c: np.ndarray) -> np.ndarray:
-    """Letters, pairs and triples of letters within words; a word's ends count as a letter of pairs and triples."""
+    """Letters, pairs and triples of letters within words as different numbers; a word's ends count as a letter of pairs and
+    triples (of words of two letters or more). A code point has 21 bits: letters are numbers below 2^21, triples above, pairs below 0."""
     a, b = c[:-1], c[1:]
-    two = ((a << 10) | b)[(a | b) != 0] | (1 << 30)
+    two = -((a << 21) | b)[(a | b) != 0]
     x, y, z = c[:-2], c[1:-1], c[2:]
-    three = ((x << 20) | (y << 10) | z)[(y != 0) & ((x | z) != 0)] | (2 << 30)
+    three = ((x << 42) | (y << 21) | z)[(y != 0) & ((x | z) != 0)]
     return np.concatenate([c[c != 0], two, three])
 
 
@@ -60,11 +57,12 @@ def counted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at], np.diff(np.append(at, len(g)))
 
 
-def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
+def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE, languages: int = 1000) -> dict[str, list[int]]:
     """The ``size`` most frequent n-grams of each non-null language over all rows of ``df``.
 
     Counts are combined in each task before they are shuffled by (language, n-gram). What comes to the driver has
-    ``size`` rows a language, whatever the rows."""
+    ``size`` numbers a language, for the ``languages`` with the most n-grams (ties to the first by name): a bound on the model's
+    classes for a column that holds other things than languages, not on rows."""
 
     def count(batches):
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -88,35 +86,34 @@ def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size:
             yield from arrow_rows("lang string, gram long, n long", [[k] * len(v), v, n])
 
     rows = columns(df, text, lang).toDF("text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, gram long, n long")
-    total = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return {r["lang"]: r["grams"] for r in _top(total, size).collect()}
-
-
-def _top(total: DataFrame, size: int) -> DataFrame:
+    total = written(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    most = total.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(languages)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return total.withColumn("place", place).where(F.col("place") <= size).groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("grams"))
+    best = total.join(F.broadcast(most.select("lang")), "lang").withColumn("place", place).where(F.col("place") <= size)
+    best = best.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("grams"))
+    return {r["lang"]: r["grams"] for r in best.collect()}
 
 
 def identify(text, profiles: dict[str, list[int]], size: int = PROFILE):
-    """A struct column (lang, score) for a text column.
+    """A struct column (lang, score, distance) for a text column.
 
     A document's ``size`` most frequent n-grams are held against each profile: an n-gram costs the difference of its two
     places, or ``size`` if the profile lacks it. The least sum wins, ties to the first language by name; the score is
-    the winner's share of exp(-distance / SOFT), with distances as parts of the largest possible. ``und`` with score 0
-    for null texts and texts without letters, and where nothing was learned."""
+    the winner's share of exp(-distance / SOFT), with distances as parts of the largest possible; the distance is the
+    winner's. ``und`` with score 0 and distance 1 for null texts and texts without letters, and where nothing was learned."""
     names = sorted(profiles)
     keys = np.unique(np.array([g for k in names for g in profiles[k]], np.int64)) if names else np.empty(0, np.int64)
     ranks = np.full((len(names), len(keys) + 1), -1, np.int64)
     for i, k in enumerate(names):
         ranks[i, np.searchsorted(keys, profiles[k])] = np.arange(len(profiles[k]))
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, distance double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
+        langs, scores, distances = [], [], []
         for t in texts:
             c = letter_codes(t) if t else np.zeros(1, np.int64)
             if not names or not c.any():
-                langs.append(UNKNOWN), scores.append(0.0)
+                langs.append(UNKNOWN), scores.append(0.0), distances.append(1.0)
                 continue
             g = ranked(*counted(grams(c)), size)
             at = np.searchsorted(keys, g)
@@ -126,9 +123,11 @@ def identify(text, profiles: dict[str, list[int]], size: int = PROFILE):
             i = int(np.argmin(d))
             langs.append(names[i])
             scores.append(float(1 / np.exp((d[i] - d) / SOFT).sum()))
-        return pd.DataFrame({"lang": langs, "score": scores})
+            distances.append(float(d[i]))
+        return pd.DataFrame({"lang": langs, "score": scores, "distance": distances})
 
-    return predict(text)
+    # else Spark would run it once for a filter on it and once more for what passes
+    return predict.asNondeterministic()(text)
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -137,11 +136,12 @@ def held_out(doc_id, folds: int, fold: int):
 
 
 def language_id(df: DataFrame) -> DataFrame:
-    """``df`` with lang_pred, score and held_out: profiles learned from its text and lang outside the held-out fold.
+    """``df`` with lang_pred, score, distance and held_out: profiles learned from its text and lang outside the held-out fold.
 
-    Every row is kept, with its other columns; repeated rows are learned from and predicted each."""
+    Every row is kept, with its other columns, but those with a new one's name; repeated rows are learned from and predicted
+    each; rows with a null doc_id are held out. A null or empty text is ``und``; one without any labelled row makes all ``und``."""
     small_batches(df.sparkSession)
-    out = held_out(F.col("`doc_id`"), 3, 1)
-    profiles = learn_profiles(df.where(~out))
-    found = df.withColumns({"held_out": out, "__p": identify(F.col("`text`"), profiles)})
-    return found.withColumns({"lang_pred": F.col("__p.lang"), "score": F.col("__p.score")}).drop("__p")
+    plain = columns(df, "doc_id", "text", "lang")
+    profiles = learn_profiles(plain.where(~held_out(F.col("doc_id"), 3, 1)))
+    new = {"lang_pred": F.col("__p.lang"), "score": F.col("__p.score"), "distance": F.col("__p.distance"), "held_out": F.col("__h")}
+    return beside(df, ["doc_id", "text"], lambda rows, doc_id, text: (rows.withColumns({"__h": held_out(doc_id, 3, 1), "__p": identify(text, profiles)}), new))

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,26 @@ def cleanup(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that operators write inside the block when it is left, also by an error: for results that are written
+    elsewhere within it. A path that is taken out of the yielded list stays."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        for path in _SCRATCH.pop():
+            delete_path(spark, path)
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -135,10 +154,11 @@ def arrow_rows(ddl: str, cols: Sequence, rows: int = 20_000) -> Iterator[pa.Reco
         yield batch.slice(at, rows)
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[dict], tuple | None], ddl: str, at_once: int = 0) -> DataFrame:
+def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[dict], tuple | None], ddl: str, parts: int = 0) -> DataFrame:
     """Rows dealt and sorted by ``keys``, then ``fn`` over each group in a streaming Arrow pass.
 
-    The caller bounds a group's rows (hot keys are split beforehand by adding a block number to the keys). ``fn``
+    The caller bounds a group's rows (hot keys are split beforehand by adding a block number to the keys). ``parts`` deals
+    the groups to that many tasks, where they are small but costly; else Spark puts small ones together. ``fn``
     takes a dict of Arrow arrays of one group and returns a tuple of output columns, or None. One pass over sorted
     batches costs far less for a group than a call of applyInPandas, so that many small groups are cheap.
     """
@@ -192,7 +212,8 @@ def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[dict], tuple |
             groups(pa.Table.from_batches(rest), True)
         yield from flush()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(passes, ddl)
+    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(passes, ddl)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
