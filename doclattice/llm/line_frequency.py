@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import BROADCAST_BYTES, columns, maybe_broadcast, written
+from doclattice.llm.shared import BROADCAST_BYTES, beside, columns, maybe_broadcast, written
 
 SPACES = " \t\n\v\f\r"
 
@@ -38,28 +38,34 @@ def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int
     all pages is spread by its lines. The frequent lines (at most average lines / max_ratio for each host) are grouped
     per host and sent to the scan if they are counted as few (``few_bytes``); else the documents are written with a number
     for each row and their lines are joined by host and line: both ways judge each row by its own lines and host.
-    A null text stays null with 0 lines; rows with a null host count as one host. Repeated rows count as pages.
+    A null text stays null with 0 lines, an empty one empty; rows with a null host count as one host. Repeated rows count as
+    pages. Columns of ``docs`` with a new one's name are left out.
     """
     frequent = written(line_counts(docs, host, text).where((F.col("ratio") > max_ratio) & (F.col("n_pages") >= min_pages)).select("host", "key"), "frequent-lines")
-    rows = frequent.count()
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    hashed = F.transform(lines, lambda x: F.unhex(F.md5(F.encode(F.btrim(x, F.lit(SPACES)), "utf-8"))))
-    if rows * 48 <= few_bytes:
-        per_host = frequent.groupBy("host").agg(F.collect_list("key").alias("__keys")).withColumnRenamed("host", "__host")
-        out = docs.join(F.broadcast(per_host), F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
-        flags = F.when(F.col("__keys").isNull(), F.transform(lines, lambda x: F.lit(False))).otherwise(F.transform(hashed, lambda h: F.array_contains("__keys", h)))
-        out = out.withColumn("__drop", flags).drop("__keys")
-    else:
-        # the numbers depend on how rows fall into tasks, so both sides read them from one table
-        docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
-        each = columns(docs, "__row", host, text).toDF("__id", "host", "t").select("__id", "host", F.posexplode(lines_of(F.col("t"))).alias("at", "line")).where("line != ''")
-        each = each.select("__id", "host", "at", F.unhex(F.md5(F.encode("line", "utf-8"))).alias("key"))
-        f = frequent.select(F.col("host").alias("h"), "key")
-        found = each.join(f, (each["key"] == f["key"]) & each["host"].eqNullSafe(f["h"])).groupBy("__id").agg(F.collect_set("at").alias("__at"))
-        out = docs.join(found, F.col("__row") == F.col("__id"), "left").drop("__id", "__row")
-        out = out.withColumn("__drop", F.transform(lines, lambda x, i: F.coalesce(F.array_contains("__at", i), F.lit(False)))).drop("__at")
-    kept = F.filter(F.arrays_zip(lines.alias("x"), F.col("__drop").alias("d")), lambda z: ~z["d"])
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    dropped = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size(F.filter("__drop", lambda d: d))).cast("long")
-    text_now = F.when(dropped == 0, F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
-    return out.withColumns({"kept_text": text_now, "n_lines": F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("long")).otherwise(size(F.filter(lines_of(F.col(f"`{text}`")), lambda x: x != ""))), "n_dropped": dropped}).drop("__drop")
+    few = frequent.count() * 96 <= few_bytes
+
+    def dropped(plain: DataFrame, host_: Column, text_: Column) -> tuple[DataFrame, dict[str, Column]]:
+        if few:
+            lines = F.split(text_, "\n")
+            hashed = F.transform(lines, lambda x: F.unhex(F.md5(F.encode(F.btrim(x, F.lit(SPACES)), "utf-8"))))
+            per_host = frequent.groupBy("host").agg(F.collect_list("key").alias("__keys")).withColumnRenamed("host", "__host")
+            out = plain.join(F.broadcast(per_host), host_.eqNullSafe(F.col("__host")), "left")
+            flags = F.when(F.col("__keys").isNull(), F.transform(lines, lambda x: F.lit(False))).otherwise(F.transform(hashed, lambda h: F.array_contains("__keys", h)))
+            out = out.withColumn("__drop", flags)
+        else:
+            # the numbers depend on how rows fall into tasks, so both sides read them from one table
+            out = written(plain.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+            lines = F.split(text_, "\n")
+            each = out.select(F.col("__row").alias("__id"), host_.alias("host"), F.posexplode(lines_of(text_)).alias("at", "line")).where("line != ''")
+            each = each.select("__id", "host", "at", F.unhex(F.md5(F.encode("line", "utf-8"))).alias("key"))
+            f = frequent.select(F.col("host").alias("h"), "key")
+            found = each.join(f, (each["key"] == f["key"]) & each["host"].eqNullSafe(f["h"])).groupBy("__id").agg(F.collect_set("at").alias("__at"))
+            out = out.join(found, F.col("__row") == F.col("__id"), "left")
+            out = out.withColumn("__drop", F.transform(lines, lambda x, i: F.coalesce(F.array_contains("__at", i), F.lit(False))))
+        kept = F.filter(F.arrays_zip(lines.alias("x"), F.col("__drop").alias("d")), lambda z: ~z["d"])
+        gone = F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size(F.filter("__drop", lambda d: d))).cast("long")
+        text_now = F.when(gone == 0, text_).otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
+        n_lines = F.when(text_.isNull(), F.lit(0)).otherwise(F.size(F.filter(lines_of(text_), lambda x: x != ""))).cast("long")
+        return out, {"kept_text": text_now, "n_lines": n_lines, "n_dropped": gone}
+
+    return beside(docs, [host, text], dropped)

@@ -109,7 +109,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridg
 
     The texts are read once: their statistics are written as a table, from which the classes' moments (over all labelled
     rows outside the held-out fold, no sample) and then all scores come. A null or empty text has the statistics of
-    an empty one. Labels that are null or other than 0 and 1 are left out; several labels of a document all count.
+    an empty one. Labels that are null or other than 0 and 1 are left out; several labels of a document all count; labels of
+    null or unknown doc_ids none. Rows that repeat a doc_id are scored each, and each counts with the id's labels.
+    ``temper`` divides the log odds: statistics of one text depend on one another beyond what two Gaussians can say, so that the odds
+    of many of them are far too sure. It doesn't change the order of scores, but makes 0.7 a cut among them. Further columns are not read.
     Without labels of both classes all scores are the share of class 1 (0.5 without labels).
     """
     stats = written(columns(docs, "doc_id", "text").select("doc_id", statistics_of("text").alias("f")), "statistics")
