@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.functions import markup
+from doclattice.functions import markup, wikitext
 from doclattice.functions.names import canon_type, folded, norm, split_top
-from doclattice.functions.xml import escape, quoteattr, render
+from doclattice.functions.xml import escape, render
 from doclattice.operators.coverage import coverage as covered
 from doclattice.operators.merge import flagged, funnel, priority_merge, ranked
-from doclattice.operators.resolve import member_index, resolve_members, resolve_types
+from doclattice.operators.resolve import by_id, candidates, member_index, resolve_members, resolve_types, type_index
+from doclattice.plans.merge_docs import first_texts, lost
+from doclattice.sources.files import entries
+from doclattice.sources.sinks import document_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,11 +62,7 @@ def priority_merge_query(spark, sf_dir):
 @query(f"WITH {LAYERS} SELECT source, step, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, unnest(['symbols documented', CASE WHEN place = 1 THEN 'entries written' ELSE 'already documented by a higher-priority source' END]) AS step FROM placed) GROUP BY source, step")
 def merge_funnel(spark, sf_dir):
     rows = priority_merge(layers(spark, sf_dir))
-    steps = None
-    for source in ("urgent", "filled", "nation"):
-        more = flagged(rows.where(F.col("source") == source), source, {"symbols documented": F.lit(True), "entries written": "written", "already documented by a higher-priority source": "not written"})
-        steps = more if steps is None else steps.unionByName(more)
-    return funnel(steps)
+    return funnel(flagged(rows, None, {"symbols documented": F.lit(True), "entries written": "written", "already documented by a higher-priority source": "not written"}))
 
 
 @query(f"WITH {LAYERS} SELECT id, source, text, winner FROM placed WHERE place > 1")
@@ -80,22 +79,29 @@ def first_in_source(spark, sf_dir):
     return ranked(rows, ["source", "id"], ["doc_id"]).where("place = 1").select("doc_id", "lang", "source")
 
 
-@query("""SELECT 'events' AS source, 'no customer with this key' AS reason, CAST(event_id AS VARCHAR) AS entry FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
-UNION ALL SELECT 'labels', 'no document with this id', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)""")
+@query("""SELECT 'events' AS source, 'no customer in credit with this key' AS reason, CAST(event_id AS VARCHAR) AS entry FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'labels', 'no English document with this id', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
 def unmatched_report(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    events = table(spark, sf_dir, "events").join(users, "user_id", "left_anti").select(F.lit("events").alias("source"), F.lit("no customer with this key").alias("reason"), F.col("event_id").cast("string").alias("entry"))
-    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti")
-    return events.unionByName(labels.select(F.lit("labels").alias("source"), F.lit("no document with this id").alias("reason"), F.col("doc_id").cast("string").alias("entry")))
+    """Entries whose id a table of symbols lacks, by the lookup and the list of the merge."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    as_symbols = lambda df: by_id(df.select("id", F.lit("all").alias("asm"), F.array().cast("array<string>").alias("pnames"), F.col("id").alias("ord")))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").cast("string").alias("entry")).join(as_symbols(customers), "id", "left")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("entry")).join(as_symbols(english), "id", "left")
+    none = lambda df, source, reason: lost(df.where("asm is null"), source, F.lit(reason), "entry")
+    return none(events, "events", "no customer in credit with this key").unionByName(none(labels, "labels", "no English document with this id"))
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, p_brand, s_name FROM lineitem LEFT JOIN part ON regexp_replace('Part' || CAST(l_partkey AS VARCHAR), '\\s+', '', 'g') = 'Part' || CAST(p_partkey AS VARCHAR) LEFT JOIN supplier ON l_suppkey = s_suppkey")
 def exact_lookup(spark, sf_dir):
+    """Parts as types, looked up by a name that is written otherwise; suppliers as symbols, looked up by id."""
     line, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    part = part.select(norm(F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))).alias("key"), "p_brand")
-    line = line.withColumn("key", F.concat(F.lit("Part"), F.col("l_partkey").cast("string")))
-    out = line.join(part, "key", "left").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
-    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "p_brand", "s_name")
+    none = F.array().cast("array<string>").alias("pnames")
+    types = type_index(part.select(F.lit("NamedType").alias("kind"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("full"), F.col("p_brand").alias("id"), F.col("p_name").alias("name"), none, F.col("p_partkey").alias("ord")))
+    symbols = by_id(supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("asm"), none, F.col("s_suppkey").alias("ord"))).withColumnRenamed("id", "l_suppkey")
+    asked = line.select("l_orderkey", "l_linenumber", "l_suppkey", F.concat(F.lit(" Part"), F.col("l_partkey").cast("string")).alias("written"))
+    out = resolve_types(asked, types, "written").join(symbols, "l_suppkey", "left")
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("t.id").alias("p_brand"), F.col("asm").alias("s_name"))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,19 +122,20 @@ def suffix_lookup(spark, sf_dir):
     return resolve_types(asked, types, "name", F.lit(True)).select("name", F.col("t.full").alias("found"))
 
 
-@query("""WITH members AS (SELECT p_brand AS scope, p_type AS name, p_partkey AS id FROM part),
-asked AS (SELECT DISTINCT scope, unnest([name, upper(name), lower(name), string_split(name, ' ')[1]]) AS name FROM members),
-one AS (SELECT a.scope, a.name, min(id) AS first_id, count(*) AS n FROM asked a JOIN members m ON m.scope = a.scope AND m.name = a.name GROUP BY ALL),
-three AS (SELECT a.scope, a.name, min(id) AS first_id, count(*) AS n FROM asked a JOIN members m ON m.scope = a.scope AND lower(m.name) = lower(a.name) GROUP BY ALL)
-SELECT a.scope, a.name, CASE WHEN o.n IS NOT NULL THEN 1 WHEN t.n IS NOT NULL THEN 3 END AS tier, coalesce(o.first_id, t.first_id) AS first_id, CAST(coalesce(o.n, t.n, 0) AS BIGINT) AS n
-FROM asked a LEFT JOIN one o ON o.scope = a.scope AND o.name = a.name LEFT JOIN three t ON t.scope = a.scope AND t.name = a.name""")
+@query("""WITH members AS (SELECT p_brand AS scope, CASE WHEN p_partkey % 3 = 0 THEN 'IShop.' || p_type ELSE p_type END AS name, p_type, p_partkey AS id FROM part),
+asked AS (SELECT DISTINCT scope, unnest([name, p_type, upper(p_type), lower(p_type), upper(name), string_split(p_type, ' ')[1]]) AS name FROM members),
+hits AS (SELECT a.scope, a.name, CASE WHEN m.name = a.name THEN 1 WHEN contains(m.name, '.') AND string_split(m.name, '.')[-1] = a.name THEN 2 WHEN lower(m.name) = lower(a.name) THEN 3 END AS tier, id
+    FROM asked a JOIN members m ON m.scope = a.scope),
+best AS (SELECT scope, name, min(tier) AS tier FROM hits GROUP BY ALL)
+SELECT b.scope, b.name, b.tier, min(h.id) AS first_id, CAST(count(h.id) AS BIGINT) AS n FROM best b LEFT JOIN hits h ON h.scope = b.scope AND h.name = b.name AND (h.tier = b.tier OR b.tier = 3 AND h.tier = 3) GROUP BY ALL""")
 def tiered_candidates(spark, sf_dir):
-    members = table(spark, sf_dir, "part").select(F.col("p_brand").alias("scope"), F.col("p_type").alias("name"), F.col("p_partkey").alias("id"))
-    asked = members.select("scope", F.explode(F.array(F.col("name"), F.upper("name"), F.lower("name"), F.substring_index("name", " ", 1))).alias("name")).distinct()
-    exact = members.groupBy("scope", "name").agg(F.min("id").alias("a"), F.count("*").alias("an"))
-    lower = members.groupBy("scope", F.lower("name").alias("low")).agg(F.min("id").alias("b"), F.count("*").alias("bn"))
-    out = asked.join(exact, ["scope", "name"], "left").withColumn("low", F.lower("name")).join(lower, ["scope", "low"], "left")
-    return out.select("scope", "name", F.when(F.col("a").isNotNull(), 1).when(F.col("b").isNotNull(), 3).alias("tier"), F.coalesce("a", "b").alias("first_id"), F.coalesce("an", "bn", F.lit(0)).cast("long").alias("n"))
+    """Part types as member names, every third one implemented explicitly; asked as they are, by last part, in other cases."""
+    part = table(spark, sf_dir, "part").withColumn("name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("IShop."), "p_type")).otherwise(F.col("p_type")))
+    none = F.lit(None).cast("array<string>")
+    symbols = part.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.lit("Method").alias("kind"), "name", F.col("p_brand").alias("type"), none.alias("ptypes"), none.alias("pnames"), none.alias("prefs"), F.lit(0).alias("tparams"))
+    names = F.array("name", "p_type", F.upper("p_type"), F.lower("p_type"), F.upper("name"), F.substring_index("p_type", " ", 1))
+    out = candidates(part.select(F.col("p_brand").alias("scope"), F.explode(names).alias("name")).distinct(), member_index(symbols))
+    return out.select("scope", "name", "tier", F.array_min(F.transform("candidates", lambda c: c["id"].cast("long"))).alias("first_id"), F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("n"))
 
 
 @query("""WITH c0 AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'f': l_returnflag, 's': l_linestatus, 'q': CAST(l_quantity AS BIGINT)}) AS c FROM lineitem GROUP BY l_orderkey),
@@ -150,8 +157,9 @@ def narrow_ladder(spark, sf_dir):
 
 @query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text <> '') AS tooltip, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS label FROM conversations GROUP BY conv_id")
 def first_tooltip_label(spark, sf_dir):
-    first = lambda role: F.min_by(F.when((F.col("role") == role) & (F.col("text") != ""), F.col("text")), F.when((F.col("role") == role) & (F.col("text") != ""), F.col("turn")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("assistant").alias("tooltip"), first("user").alias("label"))
+    """Turns as arguments of an attribute: the assistant's are sentences, the user's names."""
+    arg = F.when(F.col("role") == "assistant", "toolTip").when(F.col("role") == "user", "guiName")
+    return first_texts(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("at"), arg.alias("arg"), F.nullif("text", F.lit("")).alias("text")), ["conv_id"])
 
 
 @query("SELECT p_partkey, lower(regexp_replace(p_name, '[\\W_]', '', 'g')) = lower(regexp_replace(split_part(p_name, ' ', 1) || '-' || split_part(p_name, ' ', 2), '[\\W_]', '', 'g')) AS echo, lower(regexp_replace(p_type, '[\\W_]', '', 'g')) AS folded FROM part")
@@ -160,11 +168,18 @@ def label_echo(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (folded(F.col("p_name")) == folded(two)).alias("echo"), folded(F.col("p_type")).alias("folded"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</?(b|big|code|em|i|s|small|span|strong|sub|tt|u|var)(\\s[^>]*)?/?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
+@query("""SELECT p_partkey, p_name || ' ' || p_type || ' is ' || CAST(p_size AS VARCHAR) || ' shop (http://x.example/' || CAST(p_partkey AS VARCHAR) || ') 2^' || CAST(p_size AS VARCHAR) || '& List<' || p_brand || '> ' || p_brand AS text FROM part""")
 def markup_to_text(spark, sf_dir):
-    text = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(b|big|code|em|i|s|small|span|strong|sub|tt|u|var)(\s[^>]*)?/?>", ""), "<[^>]*>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    """Wiki markup around the columns of parts, as plain text."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(wikitext.plain)
+
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    parts = ("\'\'\'", "p_name", "\'\'\' [[API:Page|", "p_type", "]] is <b class=\'x\'>", size, "</b><br/>[http://x.example/", key, " \'\'shop\'\'] 2<sup>", size, "</sup>&amp;<!-- [[none]] -->\n List<", "p_brand", "> {{Type|", "p_brand", "}}")
+    markup_ = F.concat(*(F.lit(x) if i % 2 == 0 else F.col(x) if isinstance(x, str) else x for i, x in enumerate(parts)))
+    return table(spark, sf_dir, "part").select("p_partkey", plain(markup_).alias("text"))
 
 
 @query("SELECT p_partkey, 'List<int,' || regexp_replace(p_brand, '\\s+', '', 'g') || '>' AS canon FROM part")
@@ -187,12 +202,14 @@ def render_member(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", render(doc).alias("body"))
 
 
-@query("""SELECT r_name AS asm, '<doc>' || string_agg('<member name="' || n_name || '">' || CAST(n_nationkey AS VARCHAR) || '</member>', '' ORDER BY n_name) || '</doc>' AS document, CAST(count(*) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("""SELECT r_name AS asm, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<doc>' || chr(10) || '  <assembly>' || chr(10) || '    <name>' || r_name || '</name>' || chr(10) || '  </assembly>' || chr(10) || '  <members>' || chr(10)
+|| string_agg('    <member name="' || n_name || '">' || CAST(n_nationkey AS VARCHAR) || '</member>' || chr(10), '' ORDER BY n_name) || '  </members>' || chr(10) || '</doc>' || chr(10) AS document, CAST(count(*) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
 def grouped_document(spark, sf_dir):
+    """The lines of each region's file, put together here for the comparison; the writer streams them."""
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    line = F.concat(F.lit("<member name="), quoteattr(F.col("n_name")), F.lit(">"), F.col("n_nationkey").cast("string"), F.lit("</member>"))
-    lines = rows.groupBy(F.col("r_name").alias("asm")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("id"), line.alias("line")))).alias("lines"))
-    return lines.select("asm", F.concat(F.lit("<doc>"), F.array_join(F.transform("lines", lambda x: x["line"]), ""), F.lit("</doc>")).alias("document"), F.size("lines").cast("long").alias("n"))
+    lines = document_rows(rows.select(F.col("r_name").alias("asm"), F.col("n_name").alias("id"), F.col("n_nationkey").cast("string").alias("body")))
+    whole = lines.groupBy("asm").agg(F.array_sort(F.collect_list(F.struct("place", "id", "line"))).alias("x"))
+    return whole.select("asm", F.array_join(F.transform("x", lambda r: r["line"]), "").alias("document"), (F.size("x") - 2).cast("long").alias("n"))
 
 
 @query("SELECT d.lang AS asm, CAST(count(l.doc_id) AS BIGINT) AS documented, CAST(count(*) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY d.lang")
@@ -201,20 +218,39 @@ def coverage(spark, sf_dir):
     return covered(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'Method' WHEN 'view' THEN 'Field' WHEN 'purchase' THEN 'Property' END AS kind FROM events) WHERE kind IS NOT NULL GROUP BY kind")
+@query("""SELECT what, kind, name, CAST(tparams AS BIGINT) AS tparams, CAST(count(*) AS BIGINT) AS n FROM (
+SELECT 'members' AS what, CASE event_type WHEN 'click' THEN 'Method' WHEN 'view' THEN 'Field' WHEN 'purchase' THEN 'Property' END AS kind, CASE WHEN event_type = 'click' AND value > 50 THEN 'op_Implicit' ELSE event_type END AS name, CASE WHEN event_type = 'click' AND NOT value > 50 THEN 2 WHEN event_type = 'click' THEN 0 END AS tparams
+FROM events WHERE user_id % 4 >= 2) GROUP BY ALL""")
 def kind_filter(spark, sf_dir):
-    kinds = F.create_map(*(F.lit(x) for kv in {"click": "Method", "view": "Field", "purchase": "Property"}.items() for x in kv))
-    return table(spark, sf_dir, "events").select(kinds[F.col("event_type")].alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query()
+    """Events as elements of an archive: in pages, in namespaces and in classes; clicks as methods, some of them conversions."""
+    outer = F.when(F.col("user_id") % 4 == 0, "page").when(F.col("user_id") % 4 == 1, "namespace").when(F.col("user_id").isNotNull(), "class").otherwise("dir")
+    cast = (F.col("event_type") == "click") & (F.col("value") > 50)
+    text, none = F.lit("").alias, lambda kind: F.lit(None).cast(kind).alias
+    kind = F.when(F.col("event_type") == "click", "function").when(F.col("event_type") == "view", "variable").when(F.col("event_type") == "purchase", "property").otherwise("friend")
+    raw = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"), F.lit("member").alias("what"), outer.alias("outer"), F.lit("Deep::Place").alias("container"), kind.alias("kind"), F.when(cast, "operator Place").otherwise(F.concat("event_type", F.lit("<A, B>"))).alias("own"),
+        none("string")("parent"), text("args"), F.when(cast, "implicit").otherwise("void").alias("type"), F.lit(True).alias("static"), F.array().cast("array<string>").alias("written"), text("ref"), none("string")("brief"), none("string")("detailed"), F.array().cast("array<string>").alias("refs"), F.lit(False).alias("has_doc"),
+    )
+    return entries(raw).groupBy("what", "kind", "name", F.col("tparams").cast("long").alias("tparams")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_size % 3 <> 0 AND p_partkey % 5 <> 0 AS well_formed FROM part")
 def wellformed_filter(spark, sf_dir):
+    """Fragments of part names; some lack an end tag, some use a prefix that nothing binds."""
+
     @F.pandas_udf("boolean")
     def formed(texts: pd.Series) -> pd.Series:
         return texts.map(markup.well_formed)
 
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<body[^>]*>(.*)</body>", 1).alias("body"))
-    return rows.select("page_id", formed("body").alias("well_formed"))
+    end, inner = F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.lit("</b>")), F.when(F.col("p_partkey") % 5 == 0, F.lit("<x:y/>")).otherwise(F.lit("&amp;"))
+    return table(spark, sf_dir, "part").select("p_partkey", formed(F.concat(F.lit("<b>"), escape(F.col("p_name")), inner, end)).alias("well_formed"))
+
+
+@query("""SELECT p_partkey, '  /// <summary>' || chr(10) || '  /// ' || p_name || chr(10) || '  /// </summary>' || chr(10) || '  /// <returns>' || p_type || '</returns>' || chr(10) || '  /// <remarks>' || chr(10) || '  /// ' || rpad('', 94, 'w') || chr(10) || '  /// ' || p_brand || chr(10) || '  /// </remarks>' || chr(10) AS comment FROM part""")
+def comment_lines(spark, sf_dir):
+    """Members of part columns as source comments: a summary, a short element, one that is filled."""
+    body = F.concat(F.lit("<summary> "), escape(F.col("p_name")), F.lit("\n</summary><returns>"), escape(F.col("p_type")), F.lit(f"</returns><remarks>{'w' * 94}  "), escape(F.col("p_brand")), F.lit("</remarks>"))
+    return table(spark, sf_dir, "part").select("p_partkey", markup.comment(body, F.lit("  ")).alias("comment"))
 
 
 QUERIES["priority_merge"] = QUERIES.pop("priority_merge_query")

@@ -31,7 +31,3 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_wellformed(spark):
-    assert entry.queries()["wellformed_filter"](spark, FOLDER).count() == 50
