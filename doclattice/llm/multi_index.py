@@ -6,10 +6,10 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import arrow_rows, columns, map_groups, written
+from doclattice.llm.shared import arrow_rows, beside, join_spread, map_groups, mix64, written
 from doclattice.llm.vector_dups import unit_rows
 
 
@@ -79,109 +79,151 @@ def needed_part(sample: np.ndarray, index: Halves, top: int, recall: float, quer
     return float(min(1.0, np.quantile(at, recall) + 1 / len(sample)))
 
 
-def nearest(df: DataFrame, is_query, top: int = 20, recall: float = 0.95, k: int = 64, sample_rows: int = 20_000, least: int = 4_000, block: int = 2048) -> DataFrame:
+def codebook_size(rows: int, sample: int, most: int) -> int:
+    """Centroids a half: as many as leave about eight entries to a cell, at most ``most`` and an eighth of the sample."""
+    return max(1, min(most, sample // 8, int(np.ceil(np.sqrt(rows / 8)))))
+
+
+def nearest(df: DataFrame, is_query: Column, top: int = 20, recall: float = 0.97, most_centroids: int = 256, sample_rows: int = 20_000, least: int | None = None, block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` rows of ``df`` (vec_id, embedding) with the largest inner product for each row for
     which the column expression ``is_query`` holds, without the row itself.
 
-    The codebooks (at most 64 centroids a half) are fitted on a sample of at most ``sample_rows`` rows, those with the least hash
+    The codebooks (see ``codebook_size``) are fitted on a sample of at most ``sample_rows`` rows, those with the least hash
     of their id; every row is indexed. The same sample tells what part of the entries a query has to visit for
-    ``recall`` (at least ``least`` entries are): with clustered vectors a small part, with vectors that fill the space evenly
-    a large one. Entries are grouped by the first half's centroid and queries go to the groups that they visit, both in
-    blocks of ``block`` rows, so that a full cell is many tasks and a group's inner products are a bounded matrix.
-    Scores are sums in double precision of the original vectors' products; equal scores go to the smaller vec_id.
+    ``recall``: with clustered vectors a small part, with vectors that fill the space evenly a large one. A query visits cells
+    in the order of its heap until they hold that many entries, and 4 * ``top`` at least (or ``least``).
+
+    Queries are dealt into blocks of about ``block`` in the order of their own cells, so that those of a block visit much the same cells. An entry
+    goes to the blocks that visit its cell and to no other, and a query once to each first-half centroid that it
+    visits; there they meet in blocks of 8 * ``block`` entries, so that a full cell is many tasks and inner products are bounded
+    matrices. Scores are sums in double precision of the original vectors' products; equal scores go to the smaller vec_id.
 
     Vectors that are null, zero or hold null or non-finite components, those of another length than most such vectors of the
     whole table (of equally frequent lengths the least counts), and rows with a null vec_id, take no part. With fewer other rows than ``top``
-    all are returned, with one row or none nothing. Repeated vec_ids are entries of their own, but never of a query of the same id.
+    all are returned, with one row or none nothing. Rows that repeat a vec_id are entries and queries of their own: each query
+    row has its own ranks, and leaves out itself only. Further columns are read by ``is_query`` alone.
     """
-    table = df.select(F.col("`vec_id`").alias("vec_id"), F.col("`embedding`").alias("embedding"), is_query.alias("q")).where("vec_id is not null")
+    spark = df.sparkSession
+    marked = beside(df.withColumn("__q", is_query), ["vec_id", "embedding", "__q"], lambda plain, i, v, q: (plain, {"__id": i, "__emb": v, "__query": q})).select("__id", "__emb", "__query")
+
+    # single precision travels as such; sums are in double precision
+    kind = np.dtype(np.float64 if "double" in marked.schema["__emb"].dataType.simpleString() else np.float32)
+
+    def matrix(raw: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(raw, kind).reshape(n, -1).astype(np.float64)
 
     def pack(batches):
         for b in batches:
             for ok, x in unit_rows(b.column(1)):
-                yield from arrow_rows("vec_id long, q boolean, vec binary", [b.column(0).take(pa.array(ok)), b.column(2).take(pa.array(ok)), [r.tobytes() for r in x]])
+                yield from arrow_rows("vec_id long, q boolean, vec binary", [b.column(0).take(pa.array(ok)), b.column(2).take(pa.array(ok)), [r.tobytes() for r in x.astype(kind)]])
 
-    rows = written(table.mapInArrow(pack, "vec_id long, q boolean, vec binary"), "vectors")
+    rows = written(marked.where("__id is not null").mapInArrow(pack, "vec_id long, q boolean, vec binary").withColumn("no", F.monotonically_increasing_id()), "vectors")
     if common := rows.groupBy(F.length("vec").alias("size")).count().orderBy(F.desc("count"), "size").first():
         rows = rows.where(F.length("vec") == common["size"])
     names = "query_id long, rank int, vec_id long, score double"
     n, m = rows.count(), rows.where("q").count()
     if n < 2 or not m:
-        return df.sparkSession.createDataFrame([], names)
-    sample = np.stack([np.frombuffer(r["vec"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").collect()])
-    index = Halves(sample, max(1, min(k, 64, len(sample) // 8)))
-    budget = max(least, int(np.ceil(n * needed_part(sample, index, top, recall))))
+        return spark.createDataFrame([], names)
+    sample = np.stack([matrix(r["vec"], 1)[0] for r in rows.orderBy(F.xxhash64("vec_id"), "no").limit(sample_rows).select("vec").collect()])
+    index = Halves(sample, codebook_size(n, len(sample), most_centroids))
+    k = index.k
+    budget = max(4 * top if least is None else least, int(np.ceil(n * needed_part(sample, index, top, recall))))
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                i, j = index.cells(np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(b.num_rows, -1))
-                yield from arrow_rows("vec_id long, q boolean, vec binary, i int, j int", [*b.columns, i, j])
+                i, j = index.cells(matrix(b"".join(b.column("vec").to_pylist()), b.num_rows))
+                yield from arrow_rows("vec_id long, q boolean, vec binary, no long, i int, j int", [*b.columns, i, j])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, q boolean, vec binary, i int, j int"), "index")
-    counts = np.zeros((index.k, index.k), np.int64)
-    for r in placed.groupBy("i", "j").count().collect():  # at most 64 x 64 rows
-        counts[r["i"], r["j"]] = r["count"]
+    placed = written(rows.mapInArrow(place, "vec_id long, q boolean, vec binary, no long, i int, j int"), "index")
+    counts, asked = np.zeros((2, k, k), np.int64)
+    for r in placed.groupBy("i", "j").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).collect():  # at most k x k rows
+        counts[r["i"], r["j"]], asked[r["i"], r["j"]] = r["n"], r["m"]
     held = counts.tolist()
-    v_blocks = [-(-int(c) // block) for c in counts.sum(1)]
-    q_blocks = -(-m // block)
-    blocks_of = F.element_at(F.array(*map(F.lit, v_blocks)), F.col("i") + 1)
+    before = (np.cumsum(asked) - asked.ravel()).astype(np.int64)
 
-    def visits(batches):
+    def numbered(batches):
         for b in batches:
-            ids, cell, mask, vecs = [], [], [], []
-            for v, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw)[None]
-                a, c = index.both(x)
-                seen: dict[int, int] = {}
-                for i, j in index.visit(a[0], c[0], held, budget):
-                    seen[i] = seen.get(i, 0) | 1 << j
-                for i, bits in seen.items():
-                    ids.append(v), cell.append(i), mask.append(bits - (1 << 64) if bits >> 63 else bits), vecs.append(raw)
-            yield from arrow_rows("vec_id long, i int, mask long, vec binary", [ids, cell, mask, vecs])
-
-    asked = placed.where("q").select("vec_id", "vec").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(visits, "vec_id long, i int, mask long, vec binary")
-    asked = asked.select("i", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("w"), "vec_id", "mask", F.lit(-1).alias("j"), "vec")
-    offered = placed.select("i", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("w"), "vec_id", F.lit(None).cast("long").alias("mask"), "j", "vec")
+            if b.num_rows:
+                cell = b.column("i").to_numpy().astype(np.int64) * k + b.column("j").to_numpy()
+                at = before[cell] + (mix64(b.column("no").to_numpy().astype(np.uint64)) % asked.ravel()[cell].astype(np.uint64)).astype(np.int64)
+                yield from arrow_rows("w long, no long, vec_id long, vec binary", [at // block, b.column("no"), b.column("vec_id"), b.column("vec")])
+
+    def visits(g: dict):
+        """For each first-half centroid the queries of a block that visit cells there, with these cells as bits."""
+        x = matrix(b"".join(g["vec"].to_pylist()), len(g["no"]))
+        a, b = index.both(x)
+        seen: dict[int, list[int]] = {}
+        bits = np.zeros((len(x), k, k), bool) if len(x) * k * k <= 1 << 24 else None
+        masks: dict[tuple[int, int], np.ndarray] = {}
+        for q in range(len(x)):
+            for i, j in index.visit(a[q], b[q], held, budget):
+                if bits is not None:
+                    bits[q, i, j] = True
+                else:
+                    masks.setdefault((i, q), np.zeros(k, bool))[j] = True
+        if bits is not None:
+            for q, i in zip(*np.nonzero(bits.any(2)), strict=True):
+                masks[int(i), int(q)] = bits[q, i]
+        for i, q in sorted(masks):
+            seen.setdefault(i, []).append(q)
+        out: list[list] = [[] for _ in range(8)]
+        for i, at in seen.items():
+            m = np.stack([masks[i, q] for q in at])
+            cells = np.flatnonzero(m.any(0))
+            size = int(counts[i, cells].sum())
+            take = pa.array(at)
+            for o, v in zip(out, (g["w"][0].as_py(), i, -(-size // (8 * block)), cells, g["no"].take(take).to_pylist(), g["vec_id"].take(take).to_pylist(), np.packbits(m, axis=1).tobytes(), b"".join(g["vec"].take(take).to_pylist())), strict=True):
+                o.append(v)
+        return tuple(out)
+
+    ddl = "w long, i int, parts int, cells array<long>, nos array<long>, ids array<long>, masks binary, vecs binary"
+    blocks = written(map_groups(placed.where("q").mapInArrow(numbered, "w long, no long, vec_id long, vec binary"), ["w"], visits, ddl, int(spark.conf.get("spark.sql.shuffle.partitions"))), "query-blocks")
+    # each cell's blocks of queries; entries of a cell that many vectors share meet them by broadcast
+    cells = blocks.select("w", "i", "parts", F.explode(F.col("cells").cast("array<int>")).alias("j")).groupBy("i", "j").agg(F.collect_list(F.struct("w", "parts")).alias("blocks"))
+    sizes = placed.groupBy("i", "j").agg(F.count("*").alias("n"))
+    cells = written(cells.join(sizes, ["i", "j"]).select(F.struct("i", "j").alias("cell"), "blocks", "n"), "visited-cells")
+    entries = join_spread(placed.withColumn("cell", F.struct("i", "j")), cells, "cell", F.struct(F.hash("no").alias("i"), F.lit(-1).alias("j"))).where("found is not null")
+    entries = entries.select("i", "j", "no", "vec_id", "vec", F.explode("found.blocks").alias("x"))
+    none = lambda kind: F.lit(None).cast(kind)
+    offered = entries.select("x.w", "i", F.pmod(F.xxhash64("no"), "x.parts").cast("int").alias("v"), "j", "no", "vec_id", "vec", none("array<long>").alias("nos"), none("array<long>").alias("ids"), none("binary").alias("masks"))
+    queries = blocks.select("w", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("v"), F.lit(-1).alias("j"), none("long").alias("no"), none("long").alias("vec_id"), F.col("vecs").alias("vec"), "nos", "ids", "masks")
 
     def best(g: dict):
         j = g["j"].to_numpy()
-        q, e = np.flatnonzero(j < 0), np.flatnonzero(j >= 0)
-        if not len(q) or not len(e):
+        e, head = np.flatnonzero(j >= 0), int(np.flatnonzero(j < 0)[0])
+        if not len(e):
             return None
-        ids = g["vec_id"].to_numpy()
-        x = np.frombuffer(b"".join(g["vec"].to_pylist())).reshape(len(j), -1)
-        masks = np.array([v & (1 << 64) - 1 for v in g["mask"].take(pa.array(q)).to_pylist()], np.uint64)
-        out_q, out_v, out_s = [], [], []
-        for at in range(0, len(q), block):
-            qq, mm = q[at : at + block], masks[at : at + block]
-            s = x[qq] @ x[e].T
-            s[(mm[:, None] >> j[e].astype(np.uint64)[None, :] & np.uint64(1)) == 0] = -np.inf
-            s[ids[qq][:, None] == ids[e][None, :]] = -np.inf
+        take = pa.array(e)
+        own, ids, x = g["no"].take(take).to_numpy(), g["vec_id"].take(take).to_numpy(), matrix(b"".join(g["vec"].take(take).to_pylist()), len(e))
+        nos, qids = (np.array(g[c][head].as_py(), np.int64) for c in ("nos", "ids"))
+        y = matrix(g["vec"][head].as_py(), len(nos))
+        masks = np.unpackbits(np.frombuffer(g["masks"][head].as_py(), np.uint8).reshape(len(nos), -1), axis=1, count=k)[:, j[e]].astype(bool)
+        out = []
+        for at in range(0, len(nos), 256):
+            part = slice(at, at + 256)
+            s = y[part] @ x.T
+            s[~masks[part] | (nos[part, None] == own[None])] = -np.inf
             if len(e) > top:
-                least = np.partition(s, len(e) - top, axis=1)[:, len(e) - top] - 1e-9 * np.abs(s, where=np.isfinite(s), out=np.zeros_like(s)).max(1)
-                a, b = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                floor = np.partition(s, len(e) - top, axis=1)[:, len(e) - top] - 1e-9 * np.abs(s, where=np.isfinite(s), out=np.zeros_like(s)).max(1)
+                a, b = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
             else:
                 a, b = np.nonzero(np.isfinite(s))
-            score = (x[qq[a]] * x[e[b]]).sum(1)  # the same sum for equal vectors, whatever the matrix product did
-            order = np.lexsort((ids[e[b]], -score, a))
+            score = (y[part][a] * x[b]).sum(1)  # the same sum for equal vectors, whatever the matrix product did
+            order = np.lexsort((ids[b], -score, a))
             a, b, score = a[order], b[order], score[order]
             keep = np.arange(len(a)) - np.searchsorted(a, a) < top
-            out_q.append(ids[qq[a[keep]]]), out_v.append(ids[e[b[keep]]]), out_s.append(score[keep])
-        q, v, s = map(np.concatenate, (out_q, out_v, out_s))
-        return one_row_each(q, v, s)
-
-    def one_row_each(q, v, s):
+            out.append((a[keep] + at, ids[b[keep]], score[keep]))
+        q, v, s = map(np.concatenate, zip(*out, strict=True))
         cut = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
-        at = np.append(cut, len(q)).astype(np.int32)
-        return q[cut], pa.ListArray.from_arrays(at, pa.array(v)), pa.ListArray.from_arrays(at, pa.array(s))
+        ends = np.append(cut, len(q)).astype(np.int32)
+        return nos[q[cut]], qids[q[cut]], pa.ListArray.from_arrays(ends, pa.array(v)), pa.ListArray.from_arrays(ends, pa.array(s))
 
-    ddl = "query_id long, ids array<long>, scores array<double>"
-    parts = map_groups(asked.unionByName(offered), ["i", "v", "w"], best, ddl)
+    parts = map_groups(queries.unionByName(offered), ["w", "i", "v"], best, "no long, query_id long, ids array<long>, scores array<double>")
 
     def merged(g: dict):
         v, s = g["ids"].flatten().to_numpy(), g["scores"].flatten().to_numpy()
         order = np.lexsort((v, -s))[:top]
         return np.full(len(order), g["query_id"][0].as_py()), np.arange(1, len(order) + 1, dtype=np.int32), v[order], s[order]
 
-    return map_groups(parts, ["query_id"], merged, names)
+    return map_groups(parts, ["no"], merged, names)
