@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import arrow_rows, columns, small_batches, written
+from doclattice.llm.shared import arrow_rows, beside, columns, small_batches, written
 
 KINDS = ("assign", "access", "hex", "format")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -44,6 +46,26 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def covered(spans: list[tuple]) -> list[tuple[int, int]]:
+    """The stretches that spans (start, kind, end, ...) cover, in order; the spans are in the order of their starts."""
+    out: list[tuple[int, int]] = []
+    for start, _, end, *_ in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def replaced(text: str, spans: list[tuple], by: Callable[[int], str]) -> str:
+    """The text with ``by(length)`` in the place of each covered stretch, put together once."""
+    parts, at = [], 0
+    for start, end in covered(spans):
+        parts += [text[at:start], by(end - start)]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
 def class_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(CLASS_TABLE)
 
@@ -170,7 +192,13 @@ class Formats:
         likely = {x for x in set(CANDIDATE.findall(text)) if self.gain(x) >= self.margin}
         if not likely:
             return found
-        more = [(m.start(), 3, m.end(), m[0]) for m in CANDIDATE.finditer(text) if m[0] in likely and all(m.end() <= s or e <= m.start() for s, _, e, _ in found)]
+        starts, ends = map(list, zip(*covered(found), strict=True)) if found else ([], [])
+        more = []
+        for m in CANDIDATE.finditer(text):
+            if m[0] in likely:
+                k = bisect_left(ends, m.start() + 1)  # the first stretch that ends after the candidate's start
+                if k == len(ends) or starts[k] >= m.end():
+                    more.append((m.start(), 3, m.end(), m[0]))
         return sorted(found + more)
 
 
@@ -193,9 +221,7 @@ def learn_formats(docs: DataFrame, strings_per_kind: int = 1000, margin: float =
         for b in batches:
             for t in b.column(0).to_pylist():
                 found = base_spans(t or "")
-                for start, _, end, _ in reversed(found):
-                    t = t[:start] + " " * (end - start) + t[end:]
-                c = classes(t or "").astype(np.int64)
+                c = classes(replaced(t or "", found, lambda n: " " * n)).astype(np.int64)
                 pairs += np.bincount(np.concatenate([[ELSE], c]) * size + np.concatenate([c, [ELSE]]), minlength=size * size)
                 for _, kind, _, value in found:
                     held[kind, value] = held.get((kind, value), 0) + 1
@@ -223,8 +249,10 @@ def learn_formats(docs: DataFrame, strings_per_kind: int = 1000, margin: float =
 def find_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """``docs`` with further columns n_assign, n_access, n_hex, n_format, base, spans (kind:start:end joined by commas) and redacted.
 
-    Positions are code points, ends exclusive; ``redacted`` has [SECRET] in the place of each stretch that spans cover.
-    A null text has no spans and stays null; each row counts on its own, repeated ones too."""
+    Positions are code points, ends exclusive; ``redacted`` has [SECRET] in the place of each stretch that spans cover; spans
+    that only touch are stretches of their own. A null text has no spans and stays null; an empty one stays empty; each
+    row counts on its own, repeated ones too. Work is linear in a text's length but for sorting its spans. Columns of
+    ``docs`` with a new one's name are left out. Without rows nothing is learned and none returned."""
     small_batches(docs.sparkSession)
     formats = formats or learn_formats(docs)
 
@@ -234,14 +262,9 @@ def find_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
         for t in texts:
             found = formats.spans(t)
             named = [f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in found]
-            clean, at = [], 0
-            for s, _, e, _ in found:
-                if e > at:
-                    clean += [t[at : max(s, at)]] + (["[SECRET]"] if s >= at else [])
-                    at = e
-            out.append(([sum(k == i for _, k, _, _ in found) for i in range(4)], ",".join(x for x in named if x[0] != "f"), ",".join(named), "".join(clean) + t[at:] if found else t))
+            counts = np.bincount([k for _, k, _, _ in found], minlength=4).tolist() if found else [0] * 4
+            out.append((counts, ",".join(x for x in named if x[0] != "f"), ",".join(named), replaced(t, found, lambda n: "[SECRET]") if found else t))
         return pd.DataFrame(out, columns=["counts", "base", "spans", "redacted"])
 
-    got = docs.withColumn("__s", scan(F.col("`text`")))
-    new = {f"n_{k}": F.col("__s.counts")[i] for i, k in enumerate(KINDS)}
-    return got.withColumns(new | {c: F.col(f"__s.{c}") for c in ("base", "spans", "redacted")}).drop("__s")
+    new = {f"n_{k}": F.col("__s.counts")[i] for i, k in enumerate(KINDS)} | {c: F.col(f"__s.{c}") for c in ("base", "spans", "redacted")}
+    return beside(docs, ["text"], lambda plain, text: (plain.withColumn("__s", scan(text)), new))
