@@ -16,7 +16,17 @@ from functools import lru_cache
 import numpy as np
 
 #: White space of Unicode below 0x250; texts above that, or with the separators 0x1C-0x1F that Python also splits at, take the library's way.
-PLAIN = re.compile("[^\x1c-\x1fɐ-\U0010ffff]*")
+PLAIN = re.compile("[^ɐ-\U0010ffff]*")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def below_0x100(text: str) -> bool:
+    """Whether all code points are below 0x100, and so are those of the lower case: much faster than a pattern."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def latin(kind: str) -> str:
@@ -58,7 +68,7 @@ class Chunks(dict):
         """The whole text's ids without special tokens, as little-endian unsigned 32-bit integers."""
         text = text or ""
         low = text.lower()
-        if PLAIN.fullmatch(text) and PLAIN.fullmatch(low) and not any(x in text for x in self.literals):
+        if (below_0x100(text) or PLAIN.fullmatch(text) and PLAIN.fullmatch(low)) and not any(x in text for x in (*SEPARATORS, *self.literals)):
             return b"".join(map(self.__getitem__, low.split()))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
