@@ -74,8 +74,10 @@ def test_all_stages(spark):
     rows += [(100 + i, first, "s0") for i in range(20)]  # exact copies, all lines frequent
     rows += [(130 + i, rows[7][1].replace("\nAKIA", f"\nextra{i} AKIA"), "s1") for i in range(3)]  # near copies of 7
     rows += [(None, page(r), "s2"), (None, rows[8][1], "s2"), (150, None, "s0"), (None, None, None), (151, "12 3 !", "s1"), (152, "", "s1"), (153, page(r), None), (154, " menu", "s2"), rows[11]]
-    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], COLUMNS).repartition(3)
-    want = [x for x in rows if any(c.isalpha() for c in x[1] or "")]
+    strange = "Ωψϖ ϗϙϛ ϝϟϡ ϣϥϧ ϩϫϭ ϯϰϱ"
+    rows += [(155, strange, "s2"), (156, None, None)]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", s, None if t is None else len(t), "x") for i, t, s in rows], COLUMNS + ", TEXT string").repartition(3)
+    want = [x for x in rows if any(c.isalpha() for c in x[1] or "") and x[1] != strange]
     plain = {"language": want}
     plain["lines"] = without_frequent(plain["language"])
     plain["near_dups"] = without_copies(plain["lines"])
@@ -99,3 +101,24 @@ def test_all_stages(spark):
     for x in held.values():
         x.sort()
         assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and sum(x[-1]) <= 2048
+
+
+def test_run_and_empty_tables(spark, tmp_path):
+    """``run`` gives the last stage's rows and leaves one table behind; without documents every stage gives none."""
+    import corpus_pipeline as pipeline
+    from doclattice.llm import shared
+
+    r = random.Random(14)
+    rows = [(i, page(r, 2), "en", "s", 5) for i in range(30)] + [(40, " ".join(["word"] * 300_000), "en", "s", 5)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"{shared.shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    import os
+
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == {*range(30), 40} and sum(x.doc_id == 40 for x in got) > 100
+    assert len(set(os.listdir(folder)) - before) == 1
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
