@@ -91,6 +91,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES: dict[str, str] = {
+    "op1_vector_near_dups": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+                AND len([x FOR x IN embedding IF x <> 0]) > 0),
+        links AS (
+            SELECT a.vec_id AS one, b.vec_id AS two FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (
+            SELECT vec_id, vec_id AS root FROM embeddings
+            UNION SELECT l.two, r.root FROM reach r JOIN links l ON l.one = r.vec_id),
+        counts AS (SELECT one, count(*) AS n FROM links GROUP BY one)
+        SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+        FROM embeddings e LEFT JOIN counts c ON c.one = e.vec_id JOIN (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id) m ON m.vec_id = e.vec_id""",
+    "op3_minhash_near_dups": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        words AS (SELECT doc_id, len(w) AS total, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts WHERE len(w) >= 5),
+        runs AS (
+            SELECT doc_id, i, total, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        shingles AS (
+            SELECT DISTINCT doc_id, shingle FROM runs WHERE i <= total - 4
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 4),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT one, two FROM shared s JOIN sizes a ON a.doc_id = s.one JOIN sizes b ON b.doc_id = s.two WHERE 100 * s.n >= 75 * (a.n + b.n - s.n)),
+        reach AS (
+            SELECT doc_id, doc_id AS root FROM documents
+            UNION SELECT l.two, r.root FROM reach r JOIN links l ON l.one = r.doc_id)
+        SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
     "op6_frequent_lines": f"""
         WITH lines AS (
             SELECT doc_id, source, i, raw[i] AS line, trim(raw[i], {_SPACES}) AS trimmed

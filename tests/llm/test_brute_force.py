@@ -492,6 +492,30 @@ def test_frequent_lines_as_sql_where_lines_go(spark):
     assert sum(x[got.columns.index("n_dropped")] for x in want) > 50
 
 
+def test_near_duplicates_as_sql(spark, docs, tmp_path):
+    """The queries of op1 and op3 against their SQL, on tables with links, chains, nulls, short texts and unusable vectors."""
+    import duckdb
+
+    from doclattice.llm.queries import ORACLES, QUERIES
+
+    rng = np.random.default_rng(41)
+    x = rng.standard_normal((12, 16))[np.arange(96) % 12] + 0.03 * np.cumsum(rng.standard_normal((96, 16)), 0) / 4
+    vecs = [(i, v, None if i % 17 == 0 else i % 2) for i, v in enumerate(x.astype(np.float32).tolist())]
+    vecs += [(200, None, 1), (201, [], 1), (202, [0.0] * 16, 1), (203, [float("nan")] + [1.0] * 15, 1), (204, [None] + [1.0] * 15, 1), (205, vecs[1][1], 1), (206, vecs[1][1][:8], 1)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    base = [r.text for r in docs.select("text").limit(40).collect()]
+    cut = [(1000 + i, t.replace(" ", "\t\n", 3).upper() if i % 2 else t[: len(t) * 9 // 10]) for i, t in enumerate(base) if t]
+    odd = [(2000, None), (2001, ""), (2002, " \n\x0b"), (2003, "One two"), (2004, "one  TWO\n"), (2005, "a b c d e"), (2006, "A b c d e"), (2007, "É b c d e"), (2008, "é b c d e")]
+    spark.createDataFrame([*enumerate(base), *cut, *odd], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, at, fewest in (("op1_vector_near_dups", "embeddings", 10), ("op3_minhash_near_dups", "documents", 10)):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW {at} AS SELECT * FROM '{tmp_path}/{at}.parquet/*.parquet'")
+        got = QUERIES[name](spark, str(tmp_path))
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(con.sql(ORACLES[name]).select(*got.columns).fetchall()), name
+        assert sum(not r[3] for r in rows) >= fewest, name
+
+
 def plain_automaton(strings, size, alpha=0.01):
     """State merging written down plainly: states are dicts with their counts and next states; returns the start."""
 
