@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from doclattice.llm.components import connected_components
 from doclattice.llm.shared import arrow_rows, columns, join_spread, map_groups, maybe_broadcast, mix64, written
-from doclattice.llm.shingles import common, shingle_set
+from doclattice.llm.shingles import common, shingle_sets
 
 #: Fixed odd multipliers of the two bijections of 32-bit integers.
 SIGMA = (0x9E3779B1, 0x7FEB352D, 0x846CA68B)
@@ -89,8 +89,7 @@ def minhash_near_dups(df: DataFrame, threshold_percent: int = 75, shingle: int =
     def signed(batches):
         for b in batches:
             ids, fp, n, keys, sigs = b.column(0), [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, shingle)
+            for s in shingle_sets(b.column(1).to_pylist(), shingle):
                 n.append(len(s))
                 if not len(s):
                     fp.append(None), keys.append(None), sigs.append(None)
@@ -215,7 +214,8 @@ def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
     def sets(batches):
         for b in batches:
-            out = [(i, fp, s.tobytes()) for i, fp, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for s in [shingle_set(t, shingle)] if fingerprint(s) == fp]
+            ids, fps, texts = (c.to_pylist() for c in b.columns)
+            out = [(i, fp, s.tobytes()) for i, fp, s in zip(ids, fps, shingle_sets(texts, shingle), strict=True) if fingerprint(s) == fp]
             yield from arrow_rows("rep long, fp binary, shingles binary", list(zip(*out, strict=True)) or [[], [], []], 256)
 
     found = texts.mapInArrow(sets, "rep long, fp binary, shingles binary")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclattice.llm.queries import tokenizer
+from doclattice.llm.shingles import shingle_set, shingle_sets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -684,3 +686,21 @@ def test_quality_as_plain_discriminant(spark):
     rows_got = got.collect()
     assert sorted((str(x.doc_id), x.held_out, round(x.score, 6)) for x in rows_got) == want and 0.001 < np.std(score)
     assert all(x.predicted == (x.score >= 0.7) for x in rows_got)
+
+
+def plain_shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_shingle_sets_at_any_size_of_text_and_word():
+    rng = random.Random(4)
+    texts = [None, "", " \n", "a", "A b", "a b c d e", "A B c d\x0be F", "é É a b c d", "\ud800 a b c d e", "x" * 200_000, "x" * 65_535 + " y", "x" * 65_536 + " y"]
+    texts += ["".join(rng.choice("abC \n\t") for _ in range(n)) for n in (10, 1000, 65_536, 65_537, 300_000)]
+    texts += [texts[-1][:200_000], texts[-1][100_000:]]
+    for size in (1, 5):
+        plain, sets = [plain_shingles(t, size) for t in texts], shingle_sets(texts, size)
+        for (p, s), (q, u) in itertools.combinations_with_replacement(list(zip(plain, sets, strict=True)), 2):
+            assert len(p & q) == (len(np.intersect1d(s, u)))
+        # a text's set is the same alone as beside others
+        assert all((shingle_set(t, size) == s).all() for t, s in zip(texts, sets, strict=True))
