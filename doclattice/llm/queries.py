@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclattice.llm.shared import spread_small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -27,25 +33,25 @@ def op1_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.token_scan import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.minhash_dups import minhash_near_dups
 
-    return minhash_near_dups(table(spark, sf_dir, "documents"))
+    return minhash_near_dups(documents(spark, sf_dir))
 
 
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.quality import quality_scores
 
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.language import language_id
 
-    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op6_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def op6_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op8_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +76,7 @@ def op8_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.credentials import find_secrets
 
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.encode("base", "utf-8"), 256).alias("base_sha256"), "spans", "n_format")
 
 

@@ -20,6 +20,9 @@ BROADCAST_BYTES = 64 << 20
 #: Rows travel to and from Python in batches of about this many bytes, so that a worker's memory doesn't depend on the texts' lengths.
 ARROW_BYTES = 4 << 20
 ROW_GROUP_BYTES = 32 << 20
+#: A table of few files below this many bytes is dealt to all cores, a task for each ``TASK_BYTES``, before Python passes read it.
+SMALL_BYTES = 64 << 20
+TASK_BYTES = 1 << 20
 
 
 _LOCAL: dict[str, str] = {}
@@ -139,6 +142,15 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, n:
     return out.withColumn("found", found).drop("__hot", "__cold", "__key")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A scan of a few small files dealt to more tasks: a row group is read by one task, so one small file would occupy one core of
+    all. Scans of over ``SMALL_BYTES`` (Spark's estimate) or of as many files as cores are left as they are: large texts
+    aren't shuffled. The rows are the same either way."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.repartition(parts) if size <= SMALL_BYTES and 0 < len(df.inputFiles()) < parts else df
+
+
 def schema_of(ddl: str) -> pa.Schema:
     """The Arrow schema of a few column types that the operators emit."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}

@@ -704,3 +704,19 @@ def test_shingle_sets_at_any_size_of_text_and_word():
             assert len(p & q) == (len(np.intersect1d(s, u)))
         # a text's set is the same alone as beside others
         assert all((shingle_set(t, size) == s).all() for t, s in zip(texts, sets, strict=True))
+
+
+def test_small_scans_are_dealt_out_and_others_left_alone(spark, tmp_path, monkeypatch):
+    from doclattice.llm import shared
+
+    made = spark.range(3000).selectExpr("id as doc_id", "repeat(sha2(cast(id as string), 512), 20) as text")
+    made.coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    assert "RoundRobin" not in df._jdf.queryExecution().toString()
+    monkeypatch.setattr(shared, "TASK_BYTES", 1 << 16)
+    dealt = shared.spread_small(df)
+    assert "RoundRobin" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, made.collect()))
+    assert shared.spread_small(made) is made
+    monkeypatch.setattr(shared, "SMALL_BYTES", 1 << 10)
+    assert shared.spread_small(df) is df
