@@ -14,7 +14,7 @@ from doclattice.llm.language import UNKNOWN, language_id
 from doclattice.llm.line_frequency import drop_frequent_lines
 from doclattice.llm.minhash_dups import minhash_near_dups
 from doclattice.llm.packing import pack_documents
-from doclattice.llm.queries import table, tokenizer
+from doclattice.llm.queries import documents, tokenizer
 from doclattice.llm.shared import columns, delete_path, scratch, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -70,7 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage wrote on its way is deleted when its own table is whole, and that when the next one's is."""
-    docs, last = table(spark, sf_dir, "documents"), None
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
         with scratch(spark) as paths:
             docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
