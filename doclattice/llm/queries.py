@@ -88,9 +88,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=True))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclattice.llm.word_runs import repeated_tail, run_digests
+
+    return run_digests(documents(spark, sf_dir), repeated_tail)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_vector_near_dups, op2_token_counts, op3_minhash_near_dups, op4_quality_discriminant, op5_language_profiles, op6_frequent_lines, op7_grouped_packing, op8_multi_index_search, op9_secret_formats, op10_byte_bpe)
+    for f in (op1_vector_near_dups, op2_token_counts, op3_minhash_near_dups, op4_quality_discriminant, op5_language_profiles, op6_frequent_lines, op7_grouped_packing, op8_multi_index_search, op9_secret_formats, op10_byte_bpe, op11_word_runs)
 }
 
 #: White space that the operator trims from lines, as DuckDB's chr() calls.
