@@ -94,9 +94,15 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(documents(spark, sf_dir), repeated_tail)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclattice.llm.vector_codes import code_digests
+
+    return code_digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_vector_near_dups, op2_token_counts, op3_minhash_near_dups, op4_quality_discriminant, op5_language_profiles, op6_frequent_lines, op7_grouped_packing, op8_multi_index_search, op9_secret_formats, op10_byte_bpe, op11_word_runs)
+    for f in (op1_vector_near_dups, op2_token_counts, op3_minhash_near_dups, op4_quality_discriminant, op5_language_profiles, op6_frequent_lines, op7_grouped_packing, op8_multi_index_search, op9_secret_formats, op10_byte_bpe, op11_word_runs, op12_vector_codes)
 }
 
 #: White space that the operator trims from lines, as DuckDB's chr() calls.

@@ -147,3 +147,94 @@ def test_word_runs_of_the_test_data(spark):
     assert len(rows) > 100
     for x in rows:
         assert got[x.doc_id] == plain_digests(x.doc_id, x.text)
+
+
+def plain_codes(rows, parts=16, entries=64, rounds=2):
+    """(vec_id, code, error, label_error, digest) by whole Lloyd rounds in Python's integers; rows (vec_id, vector, label)."""
+    import math
+
+    kept = [(i, [math.floor(256 * x) for x in v], c) for i, v, c in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    if not kept:
+        return []
+    w = len(kept[0][1]) // parts
+    cut = [[tuple(v[p * w : p * w + w]) for p in range(parts)] for _, v, _ in kept]
+    books = [[list(c[p]) for c in cut[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    pick = lambda: [[min(range(len(books[p])), key=lambda e: (far(c[p], books[p][e]), e)) for p in range(parts)] for c in cut]
+    for _ in range(rounds):
+        near = pick()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [c[p] for c, n in zip(cut, near, strict=True) if n[p] == e]
+                if own:
+                    books[p][e] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    near = pick()
+    errors = [sum(far(c[p], books[p][n[p]]) for p in range(parts)) for c, n in zip(cut, near, strict=True)]
+    total = {}
+    for (_, _, c), e in zip(kept, errors, strict=True):
+        total[c] = total.get(c, 0) + e
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, "".join(f"{x:02x}" for x in n), e, total[c], digest) for (i, _, c), n, e in zip(kept, near, errors, strict=True)]
+
+
+def vectors_of(seed, n, dim, grid):
+    """Vectors of few or many values: those of few have many equal distances."""
+    r = random.Random(seed)
+    value = (lambda: r.choice([-1.0, -0.5, 0.0, 0.25, 1.0])) if grid else (lambda: r.gauss(0, 0.4))
+    rows = [(i * 7 % (n + 9), [value() for _ in range(dim)], r.choice([1, 1, 1, 2, 3, None])) for i in range(n)]
+    rows += [(10_000 + i, rows[0][1], 1) for i in range(60)]
+    rows += [(3, None, 1), (4, [], 1), (5, [None] * dim, 2), (6, [float("nan")] * dim, 2), (7, [*[0.5] * (dim - 1), float("inf")], None), (None, [0.125] * dim, 2), (rows[5][0], rows[6][1], 3)]
+    return rows
+
+
+@pytest.mark.parametrize("n, dim, grid", [(300, 32, False), (400, 32, True), (20, 16, False), (250, 64, True)])
+def test_vector_codes(spark, n, dim, grid):
+    from doclattice.llm.vector_codes import code_digests
+
+    rows = vectors_of(n, n, dim, grid)
+    frame = spark.createDataFrame([(*x, "y", 1) for x in rows], "vec_id long, embedding array<float>, label int, Code string, ERROR int").repartition(5)
+    rows = [(x.vec_id, x.embedding, x.label) for x in frame.collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted((tuple(x) for x in code_digests(frame).collect()), key=key) == sorted(plain_codes(rows), key=key)
+
+
+def test_vector_codes_of_odd_tables(spark):
+    from doclattice.llm.vector_codes import code_digests, vector_codes
+
+    kind = "vec_id long, embedding array<float>, label int"
+    assert code_digests(spark.createDataFrame([], kind)).count() == 0
+    assert code_digests(spark.createDataFrame([(1, None, 1), (2, [], None)], kind)).count() == 0
+    assert code_digests(spark.createDataFrame([(1, [1.0] * 15, 1)], kind)).count() == 0
+    one = code_digests(spark.createDataFrame([(4, [0.5] * 16, 1), (9, [0.5] * 32, 1)], kind)).collect()
+    assert [(x.vec_id, x.code, x.error, x.label_error) for x in one] == [(4, "00" * 16, 0, 0)]
+    huge = code_digests(spark.createDataFrame([(i, [3e38 * (-1) ** i] * 16, 1) for i in range(70)], kind)).collect()
+    assert {x.error for x in huge} == {0} and len(huge) == 70
+    with pytest.raises(ValueError):
+        vector_codes(spark.createDataFrame([], kind), entries=300)
+
+
+def test_bounds_prune_and_hold():
+    """Through rounds of moving entries, with bounds as they are written, the entries are those of a full search, for fewer distances."""
+    from doclattice.llm.vector_codes import State, nearest_by_bounds, nearest_of_all, shifted, squared
+
+    r = np.random.default_rng(4)
+    centres = r.integers(-300, 300, (12, 4))
+    points = (centres[r.integers(0, 12, 4000)] + r.integers(-20, 20, (4000, 4))).astype(np.int64)
+    points[:500] = r.integers(-2, 2, (500, 4))
+    old = points[r.choice(4000, 32, False)]
+    near, _, upper, lower = nearest_of_all(points, old)
+    asked = 0
+    for _ in range(6):
+        new = np.array([points[near == e].sum(0) // max(1, (near == e).sum()) if (near == e).any() else old[e] for e in range(32)])
+        state = State(1, 32)
+        import pyarrow as pa
+
+        near, upper, lower = (a[:, 0] for a in state.unpack(*(pa.array(x, pa.binary()) for x in state.pack(near[:, None], upper[:, None], lower[:, None]))))
+        up, low = shifted(upper, lower, near, old, new)
+        d = squared(points, new)
+        assert (up >= np.sqrt(d[np.arange(4000), near])).all() and (low <= np.sqrt(d)).all()
+        near, upper, lower, n = nearest_by_bounds(points, new, near, up, low)
+        assert (near == d.argmin(1)).all()
+        asked, old = asked + n, new
+    assert asked < 6 * 4000 * 32 / 3
