@@ -100,9 +100,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_digests(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclattice.llm.token_files import token_files
+
+    return token_files(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_vector_near_dups, op2_token_counts, op3_minhash_near_dups, op4_quality_discriminant, op5_language_profiles, op6_frequent_lines, op7_grouped_packing, op8_multi_index_search, op9_secret_formats, op10_byte_bpe, op11_word_runs, op12_vector_codes)
+    for f in (op1_vector_near_dups, op2_token_counts, op3_minhash_near_dups, op4_quality_discriminant, op5_language_profiles, op6_frequent_lines, op7_grouped_packing, op8_multi_index_search, op9_secret_formats, op10_byte_bpe, op11_word_runs, op12_vector_codes, op13_token_files)
 }
 
 #: White space that the operator trims from lines, as DuckDB's chr() calls.

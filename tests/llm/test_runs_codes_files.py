@@ -238,3 +238,87 @@ def test_bounds_prune_and_hold():
         assert (near == d.argmin(1)).all()
         asked, old = asked + n, new
     assert asked < 6 * 4000 * 32 / 3
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def odd_texts(r):
+    pieces = ["the", " and", "don't", "we'LL", "  ", "\n\n", "\t", " ", " ", "\x1c", "\x85", "é", "ß", "日本", "текст", "😀", "1234", "٣", "½", "!!", "<|endoftext|>", "<|end", "_", "a" * 60, "́", "ǅ", "﻿", "\x00"]
+    return ["".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(300)]
+
+
+def test_byte_words_as_the_library():
+    from doclattice.llm.token_files import ByteWords
+
+    words, plain = ByteWords(public_tokenizers.path("byte_bpe_50k.json")), library()
+    for text in [*odd_texts(random.Random(11)), "", "a", " ", "x " * 3000]:
+        assert np.frombuffer(words.ids(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.fixture(scope="module")
+def texts_to_write(spark):
+    r = random.Random(12)
+    texts = [None, "", *odd_texts(r), "long text " * 20_000]
+    rows = [(r.choice([i, i, -i, 7, None]), t, "s", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, Start long, FRAME int".replace("Start long", "Start string")).repartition(5)
+
+
+def test_token_files(spark, texts_to_write, monkeypatch):
+    from doclattice.llm import token_files as tf
+
+    monkeypatch.setattr(tf, "READ_BYTES", 2000)
+    plain = library()
+    want = []
+    for x in texts_to_write.collect():
+        ids = [*plain.encode(x.text or "", add_special_tokens=False).ids, 0]
+        want.append((x.doc_id is not None, x.doc_id or 0, len(ids), zlib.crc32(np.array(ids, "<u2").tobytes()), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    starts = 0
+    rows = []
+    for known, i, n, _, crc in sorted(want):
+        rows.append((i if known else None, starts, n, crc))
+        starts += n
+    got = tf.token_files(texts_to_write, public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[1]) == rows
+    assert tf.token_files(texts_to_write.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_documents_of_token_files_alone(spark, texts_to_write, tmp_path):
+    from doclattice.llm import token_files as tf
+
+    folder = f"file://{tmp_path}"
+    files = tf.write_files(texts_to_write, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    names = [x.file for x in files.collect()]
+    assert files.agg(F.sum("documents")).first()[0] == texts_to_write.count()
+    plain, by = library(), {}
+    for x in texts_to_write.collect():
+        by.setdefault(x.doc_id, []).append([*plain.encode(x.text or "", add_special_tokens=False).ids, 0])
+    for i in [7, 50, 51, 52, -53, 10**9]:
+        found = [d.tolist() for n in names for d in tf.TokenFile(folder, n).find(i)]
+        assert sorted(found) == sorted(by.get(i, []))
+    assert len(by[7]) > 20
+    # a changed dictionary or file is an error, never other ids
+    at = next(tmp_path.glob("*.dictionary"))
+    raw = at.read_bytes()
+    tf.read_dictionary.cache_clear()
+    at.write_bytes(raw[:-1] + b"x")
+    with pytest.raises(ValueError):
+        tf.TokenFile(folder, names[0])
+    at.write_bytes(raw)
+    (tmp_path / "short.tok").write_bytes(b"x" * 10)
+    with pytest.raises(ValueError):
+        tf.TokenFile(folder, "short.tok")
+
+
+def test_dictionaries_of_few_samples():
+    from doclattice.llm import token_files as tf
+
+    for samples in ([], [b""], [b"ab" * 10], [bytes(range(256)) * 4] * 3):
+        raw = tf.trained(samples)
+        for x in (b"", b"abc", bytes(range(256)) * 9):
+            import zstandard
+
+            assert zstandard.ZstdDecompressor(dict_data=tf.shared_dictionary(raw)).decompress(tf.compressor(raw).compress(x)) == x
