@@ -57,12 +57,11 @@ def counted(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at], np.diff(np.append(at, len(g)))
 
 
-def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE, languages: int = 1000) -> dict[str, list[int]]:
+def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
     """The ``size`` most frequent n-grams of each non-null language over all rows of ``df``.
 
     Counts are combined in each task before they are shuffled by (language, n-gram). What comes to the driver has
-    ``size`` numbers a language, for the ``languages`` with the most n-grams (ties to the first by name): a bound on the model's
-    classes for a column that holds other things than languages, not on rows."""
+    ``size`` numbers a language, for all of them: the model grows with the languages that the labels name, not with rows."""
 
     def count(batches):
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -87,9 +86,8 @@ def learn_profiles(df: DataFrame, text: str = "text", lang: str = "lang", size:
 
     rows = columns(df, text, lang).toDF("text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, gram long, n long")
     total = written(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    most = total.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(languages)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = total.join(F.broadcast(most.select("lang")), "lang").withColumn("place", place).where(F.col("place") <= size)
+    best = total.withColumn("place", place).where(F.col("place") <= size)
     best = best.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("grams"))
     return {r["lang"]: r["grams"] for r in best.collect()}
 
@@ -139,7 +137,8 @@ def language_id(df: DataFrame) -> DataFrame:
     """``df`` with lang_pred, score, distance and held_out: profiles learned from its text and lang outside the held-out fold.
 
     Every row is kept, with its other columns, but those with a new one's name; repeated rows are learned from and predicted
-    each; rows with a null doc_id are held out. A null or empty text is ``und``; one without any labelled row makes all ``und``."""
+    each; rows with a null doc_id are held out. A null or empty text is ``und``; a table without any labelled row makes all ``und``, an
+    empty one gives no rows. Very long texts count as a whole, in batches of their own."""
     small_batches(df.sparkSession)
     plain = columns(df, "doc_id", "text", "lang")
     profiles = learn_profiles(plain.where(~held_out(F.col("doc_id"), 3, 1)))

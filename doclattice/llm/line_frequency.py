@@ -29,9 +29,10 @@ def line_counts(pages: DataFrame, host: str = "source", text: str = "text") -> D
     return n.join(t, F.col("host").eqNullSafe(F.col("h"))).select("host", "key", "n_pages", "host_pages", (F.col("n_pages") / F.col("host_pages")).alias("ratio"))
 
 
-def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5, host: str = "source", text: str = "text", few_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, host: str = "source", text: str = "text", few_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with further columns kept_text, n_lines, n_dropped: without the lines that more than ``max_ratio`` of the
-    pages of their host contain, and at least ``min_pages`` of them.
+    pages of their host contain. A line on one page alone is no repeat, so it stays, whatever part of the host that page is; there is no
+    other bound by a host's size. A line exactly at the ratio stays.
 
     Lines are compared without the white space around them; kept lines stay as they are and in order; blank lines are
     never dropped. Counts cover all rows: pages are combined per line before the shuffle, and a host with a third of
@@ -39,9 +40,9 @@ def drop_frequent_lines(docs: DataFrame, max_ratio: float = 0.1, min_pages: int
     per host and sent to the scan if they are counted as few (``few_bytes``); else the documents are written with a number
     for each row and their lines are joined by host and line: both ways judge each row by its own lines and host.
     A null text stays null with 0 lines, an empty one empty; rows with a null host count as one host. Repeated rows count as
-    pages. Columns of ``docs`` with a new one's name are left out.
+    pages. An empty table gives no rows; a very long text is split like any other. Columns of ``docs`` with a new one's name are left out.
     """
-    frequent = written(line_counts(docs, host, text).where((F.col("ratio") > max_ratio) & (F.col("n_pages") >= min_pages)).select("host", "key"), "frequent-lines")
+    frequent = written(line_counts(docs, host, text).where((F.col("ratio") > max_ratio) & (F.col("n_pages") > 1)).select("host", "key"), "frequent-lines")
     few = frequent.count() * 96 <= few_bytes
 
     def dropped(plain: DataFrame, host_: Column, text_: Column) -> tuple[DataFrame, dict[str, Column]]:

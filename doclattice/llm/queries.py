@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, "documents"))
+    """The documents; with the session's setting ``doclattice.spread`` = true, which is the caller's choice for small tables of few files,
+    dealt to all cores."""
+    docs = table(spark, sf_dir, "documents")
+    return spread_small(docs) if spark.conf.get("doclattice.spread", "false") == "true" else docs
 
 
 def tokenizer(name: str) -> str:
@@ -155,7 +158,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT doc_id, source, string_split(text, chr(10)) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
         counts AS (SELECT source, trimmed, count(DISTINCT doc_id) AS n FROM lines WHERE trimmed <> '' GROUP BY source, trimmed),
         pages AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-        frequent AS (SELECT source, trimmed FROM counts JOIN pages USING (source) WHERE n / total > 0.1 AND n >= 5),
+        frequent AS (SELECT source, trimmed FROM counts JOIN pages USING (source) WHERE n / total > 0.1 AND n > 1),
         flagged AS (SELECT l.*, f.source IS NOT NULL AS dropped FROM lines l LEFT JOIN frequent f ON l.source = f.source AND l.trimmed = f.trimmed)
         SELECT doc_id, source, CAST(count(*) FILTER (WHERE trimmed <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
             md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_md5

@@ -395,6 +395,26 @@ def test_frequent_lines(spark):
     assert got[50].kept_text is None and got[51].kept_text == "" and got[52].kept_text == "menu" and got[53].kept_text == "menu"
 
 
+def test_frequent_lines_of_small_hosts(spark):
+    """A host of two pages loses what both have, one of a page nothing; exactly at the ratio a line stays."""
+    from doclattice.llm.line_frequency import drop_frequent_lines
+
+    rows = [(1, "menu\na", "two"), (2, "menu\nb", "two"), (3, "menu\nc", "one")] + [(10 + i, f"own {i}" + "\nedge" * (i < 2) + "\nover" * (i < 3), "twenty") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for few in (64 << 20, -1):
+        got = {r.doc_id: r.kept_text for r in drop_frequent_lines(df, few_bytes=few).collect()}
+        assert (got[1], got[2], got[3], got[10], got[12], got[13]) == ("a", "b", "menu\nc", "own 0\nedge", "own 2", "own 3")
+
+
+def test_more_languages_than_a_thousand(spark):
+    """Every learned language has its profile."""
+    from doclattice.llm.language import learn_profiles
+
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    found = learn_profiles(spark.createDataFrame([(f"{name(i)} {name(i)}x", name(i)) for i in range(1001)], "text string, lang string"))
+    assert len(found) == 1001 and all(found.values())
+
+
 def test_empty_tables(spark):
     from doclattice.llm import byte_bpe, credentials, language, line_frequency, minhash_dups, multi_index, packing, quality, token_scan, vector_dups
 

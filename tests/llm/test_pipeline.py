@@ -32,7 +32,7 @@ def test_one_of_a_large_group_of_copies_stays(spark):
 
 
 def without_frequent(rows):
-    """(doc_id, text, source) with the lines gone that over a tenth and at least 5 of a source's rows hold, unless all would go."""
+    """(doc_id, text, source) with the lines gone that over a tenth and at least 2 of a source's rows hold, unless all would go."""
     pages, held = {}, {}
     for _, t, s in rows:
         pages[s] = pages.get(s, 0) + 1
@@ -40,7 +40,7 @@ def without_frequent(rows):
             held[s, x] = held.get((s, x), 0) + 1
     out = []
     for i, t, s in rows:
-        left = [x for x in t.split("\n") if not (held.get((s, x.strip()), 0) >= 5 and held[s, x.strip()] > 0.1 * pages[s])]
+        left = [x for x in t.split("\n") if not (held.get((s, x.strip()), 0) >= 2 and held[s, x.strip()] > 0.1 * pages[s])]
         out.append((i, "\n".join(left) if any(x.strip() for x in left) else t, s))
     return out
 
