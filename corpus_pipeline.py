@@ -48,7 +48,10 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     group's first. A null lang, source or n_chars changes nothing."""
     docs = columns(docs, *COLUMNS)
     gone = minhash_near_dups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(written(gone, "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+    # rows without an id have nothing to meet; a hash of their own deals them to all tasks
+    key = [F.coalesce("doc_id", F.xxhash64("text", "source", "lang")).alias("__key"), F.col("doc_id").isNotNull().alias("__known")]
+    gone = written(gone, "dropped").select(F.col("doc_id").alias("__key"), F.lit(True).alias("__known"))
+    return docs.select("*", *key).join(gone, ["__key", "__known"], "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
