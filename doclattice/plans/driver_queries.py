@@ -12,8 +12,8 @@ from doclattice.functions import markup, wikitext
 from doclattice.functions.names import canon_type, folded, norm, split_top
 from doclattice.functions.xml import escape, render
 from doclattice.operators.coverage import coverage as covered
-from doclattice.operators.merge import flagged, funnel, priority_merge, ranked
-from doclattice.operators.resolve import by_id, candidates, member_index, resolve_members, resolve_types, type_index
+from doclattice.operators.merge import least_rows, merge_counts, merge_steps, priority_merge
+from doclattice.operators.resolve import by_id, member_index, resolve_members, resolve_types, tier_counts, type_index
 from doclattice.plans.merge_docs import first_texts, lost
 from doclattice.sources.files import entries
 from doclattice.sources.sinks import document_rows
@@ -56,27 +56,25 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prio, ord) AS p
 
 @query(f"WITH {LAYERS} SELECT id, source, text FROM placed WHERE place = 1")
 def priority_merge_query(spark, sf_dir):
-    return priority_merge(layers(spark, sf_dir)).where("written").select("id", "source", "text")
+    return least_rows(layers(spark, sf_dir), ["id"], ["prio", "ord"]).select("id", "source", "text")
 
 
 @query(f"WITH {LAYERS} SELECT source, step, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, unnest(['symbols documented', CASE WHEN place = 1 THEN 'entries written' ELSE 'already documented by a higher-priority source' END]) AS step FROM placed) GROUP BY source, step")
 def merge_funnel(spark, sf_dir):
-    rows = priority_merge(layers(spark, sf_dir))
-    return funnel(flagged(rows, None, {"symbols documented": F.lit(True), "entries written": "written", "already documented by a higher-priority source": "not written"}))
+    return merge_steps(merge_counts(layers(spark, sf_dir)))
 
 
 @query(f"WITH {LAYERS} SELECT id, source, text, winner FROM placed WHERE place > 1")
 def shadowed_entries(spark, sf_dir):
-    rows = priority_merge(layers(spark, sf_dir))
-    winner = rows.where("written").select("id", F.col("source").alias("winner"))
-    return rows.where("not written").join(winner, "id").select("id", "source", "text", "winner")
+    rows = priority_merge(layers(spark, sf_dir), tell=["source"])
+    return rows.where("not written").select("id", "source", "text", F.col("winner_source").alias("winner"))
 
 
 @query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY source, md5(regexp_replace(text, '[\\s\\x1c-\\x1f]+', '', 'g')) ORDER BY doc_id) AS place FROM documents) WHERE place = 1")
 def first_in_source(spark, sf_dir):
     """The texts travel as digests: whole ones would make a shuffle of the table."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.md5(F.encode(norm(F.col("text")), "utf-8")).alias("id"))
-    return ranked(rows, ["source", "id"], ["doc_id"]).where("place = 1").select("doc_id", "lang", "source")
+    return least_rows(rows, ["source", "id"], ["doc_id"]).select("doc_id", "lang", "source")
 
 
 @query("""SELECT 'events' AS source, 'no customer in credit with this key' AS reason, CAST(event_id AS VARCHAR) AS entry FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
@@ -134,8 +132,8 @@ def tiered_candidates(spark, sf_dir):
     none = F.lit(None).cast("array<string>")
     symbols = part.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.lit("Method").alias("kind"), "name", F.col("p_brand").alias("type"), none.alias("ptypes"), none.alias("pnames"), none.alias("prefs"), F.lit(0).alias("tparams"))
     names = F.array("name", "p_type", F.upper("p_type"), F.lower("p_type"), F.upper("name"), F.substring_index("p_type", " ", 1))
-    out = candidates(part.select(F.col("p_brand").alias("scope"), F.explode(names).alias("name")).distinct(), member_index(symbols))
-    return out.select("scope", "name", "tier", F.array_min(F.transform("candidates", lambda c: c["id"].cast("long"))).alias("first_id"), F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("n"))
+    out = tier_counts(part.select(F.col("p_brand").alias("scope"), F.explode(names).alias("name")), member_index(symbols))
+    return out.withColumn("first_id", F.col("first_id").cast("long"))
 
 
 @query("""WITH c0 AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'f': l_returnflag, 's': l_linestatus, 'q': CAST(l_quantity AS BIGINT)}) AS c FROM lineitem GROUP BY l_orderkey),
@@ -155,6 +153,38 @@ def narrow_ladder(spark, sf_dir):
     return out.select(F.col("scope").cast("long").alias("l_orderkey"), F.col("sym.id").cast("long").alias("line"), "reason")
 
 
+_HOT_ROWS = """rows AS (
+    SELECT event_type AS source, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS prio, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS id, event_id AS ord FROM events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prio, ord) AS place, first_value(source) OVER o AS winner, count(*) OVER (PARTITION BY id) AS n FROM rows WINDOW o AS (PARTITION BY id ORDER BY prio, ord))"""
+
+
+@query(f"WITH {_HOT_ROWS} SELECT ord, id, source, place = 1 AS written, winner FROM placed")
+def hot_id_merge(spark, sf_dir):
+    """All events with what became of them, where one id has a third of them."""
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(kind.alias("source"), F.when(kind == "purchase", 0).when(kind == "click", 1).otherwise(2).alias("prio"), F.when(F.col("user_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")).alias("id"), F.col("event_id").alias("ord"))
+    return priority_merge(rows, tell=["source"]).select("ord", "id", "source", "written", F.col("winner_source").alias("winner"))
+
+
+@query("""WITH lines AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber % 4 = 0 AS e, l_linenumber % 4 IN (0, 1) OR l_linenumber % 4 = 2 AND l_suppkey % 2 = 0 AS s FROM lineitem WHERE l_returnflag = 'N'),
+all_lines AS (SELECT l_orderkey AS k, count(*) AS named, min(l_linenumber) AS only_n FROM lineitem GROUP BY l_orderkey),
+fit AS (SELECT k, count(*) AS nc, count(*) FILTER (WHERE e) AS ne, count(*) FILTER (WHERE s) AS ns, min(n) AS cn, min(n) FILTER (WHERE e) AS en, min(n) FILTER (WHERE s) AS sn FROM lines GROUP BY k),
+ended AS (SELECT a.k, named, CASE WHEN named = 1 OR ne = 1 OR ns = 1 THEN 1 ELSE coalesce(nc, 0) END AS n, CASE WHEN named = 1 THEN only_n WHEN ne = 1 THEN en WHEN ns = 1 THEN sn WHEN nc = 1 THEN cn END AS line FROM all_lines a LEFT JOIN fit f ON f.k = a.k)
+SELECT k AS l_orderkey, CAST(line AS BIGINT) AS line, CASE WHEN n = 1 THEN '' WHEN n = 0 THEN CAST(named AS VARCHAR) || ' members with this name, none fits the signature' ELSE CAST(named AS VARCHAR) || ' members with this name, ' || CAST(n AS VARCHAR) || ' fit the signature equally' END AS reason FROM ended""")
+def scope_rung(spark, sf_dir):
+    """Lines as overloads whose parameter type is named from inside an order: as written, in the order's scope, in one around it, or elsewhere;
+    so the scope tells lines apart that are alike without qualifiers. Half of the scopes around are those of other orders."""
+    line = table(spark, sf_dir, "lineitem")
+    outer, key, at = F.concat(F.lit("G"), (F.col("l_orderkey") % 7).cast("string")), F.col("l_orderkey").cast("string"), F.col("l_linenumber") % 4
+    scope = F.concat(outer, F.lit(".K"), key)
+    around = F.when(F.col("l_suppkey") % 2 == 0, outer).otherwise(F.concat(F.lit("H"), key))
+    written = F.when(at == 0, F.col("l_returnflag")).when(at == 1, F.concat(scope, F.lit("."), "l_returnflag")).when(at == 2, F.concat(around, F.lit(" . "), "l_returnflag")).otherwise(F.concat(F.lit("Z."), "l_returnflag"))
+    symbols = line.select(F.col("l_linenumber").cast("long").alias("ord"), F.col("l_linenumber").cast("string").alias("id"), F.lit("Method").alias("kind"), F.lit("line").alias("name"), scope.alias("type"), F.array(written).alias("ptypes"), F.array(F.lit("x")).alias("pnames"), F.lit(None).cast("array<string>").alias("prefs"), F.lit(0).alias("tparams"))
+    asked = line.select("l_orderkey", scope.alias("scope")).distinct().select("l_orderkey", "scope", F.lit("line").alias("name"), F.lit("Method").alias("kind"), F.lit(1).alias("arity"), F.array(F.lit("N")).alias("ptypes"), F.lit(0).alias("tparams"), F.lit(None).cast("array<string>").alias("prefs"))
+    out = resolve_members(asked, member_index(symbols))
+    return out.select("l_orderkey", F.col("sym.id").cast("long").alias("line"), "reason")
+
+
 @query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text <> '') AS tooltip, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS label FROM conversations GROUP BY conv_id")
 def first_tooltip_label(spark, sf_dir):
     """Turns as arguments of an attribute: the assistant's are sentences, the user's names."""

@@ -81,7 +81,7 @@ def test_sources_and_reports(spark, folder):
     assert one.stats["wiki: already documented by a higher-priority source"] == 1 and two.stats["wiki: entries written"] == 2
     assert members(folder / "two/Core.xml")["M:Far.Ship.Load``1(System.Int32)"] == "<summary>Loads all</summary><returns>Nothing</returns><remarks>Source: KSP wiki page API:Ship, last edited 2022-03-04.</remarks>"
     assert one.coverage == {"Core": (8, 10), "One": (0, 1), "Two": (0, 1)}
-    assert write_comments(spark, str(folder / "two")) == [folder / "two/Core.comments.txt"]
+    assert write_comments(spark, str(folder / "two")) == ["Core.comments.txt"]
     assert (folder / "two/Core.comments.txt").read_text().splitlines()[:4] == ["M:Far.Ship.Load(System.Int32)", "/// <summary>", "/// Loads a few", "/// </summary>"]
     with pytest.raises(FileNotFoundError, match="nowhere"):
         build_apidocs(spark, str(folder / "symbols.json"), str(folder / "x"), str(folder), official=str(folder / "nowhere.zip"))
