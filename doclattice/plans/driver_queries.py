@@ -16,7 +16,8 @@ from doclattice.operators.merge import least_rows, merge_counts, merge_steps, pr
 from doclattice.operators.resolve import by_id, member_index, resolve_members, resolve_types, tier_counts, type_index
 from doclattice.plans.merge_docs import first_texts, lost
 from doclattice.sources.files import entries
-from doclattice.sources.sinks import document_rows
+from doclattice.operators.spread import new_path
+from doclattice.sources.sinks import write_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,14 +233,28 @@ def render_member(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", render(doc).alias("body"))
 
 
-@query("""SELECT r_name AS asm, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<doc>' || chr(10) || '  <assembly>' || chr(10) || '    <name>' || r_name || '</name>' || chr(10) || '  </assembly>' || chr(10) || '  <members>' || chr(10)
-|| string_agg('    <member name="' || n_name || '">' || CAST(n_nationkey AS VARCHAR) || '</member>' || chr(10), '' ORDER BY n_name) || '  </members>' || chr(10) || '</doc>' || chr(10) AS document, CAST(count(*) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query("""WITH entries AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'Main & more' ELSE n_name END AS asm, c_name AS id, '<summary>' || c_mktsegment || ' &amp; ' || n_name || '</summary>' AS body FROM customer JOIN nation ON c_nationkey = n_nationkey),
+sizes AS (SELECT asm, count(*) AS n FROM entries GROUP BY asm),
+heads AS (SELECT asm, unnest(range(0, 6)) AS place, unnest(['<?xml version="1.0" encoding="utf-8"?>', '<doc>', '  <assembly>', '    <name>' || replace(asm, '&', '&amp;') || '</name>', '  </assembly>', '  <members>']) AS line FROM sizes),
+feet AS (SELECT asm, n + unnest(range(6, 8)) AS place, unnest(['  </members>', '</doc>']) AS line FROM sizes),
+members AS (SELECT asm, row_number() OVER (PARTITION BY asm ORDER BY id) + 5 AS place, '    <member name="' || id || '">' || body || '</member>' AS line FROM entries)
+SELECT asm || '.xml' AS file, CAST(place AS BIGINT) AS place, line FROM (FROM heads UNION ALL FROM feet UNION ALL FROM members)""")
 def grouped_document(spark, sf_dir):
-    """The lines of each region's file, put together here for the comparison; the writer streams them."""
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    lines = document_rows(rows.select(F.col("r_name").alias("asm"), F.col("n_name").alias("id"), F.col("n_nationkey").cast("string").alias("body")))
-    whole = lines.groupBy("asm").agg(F.array_sort(F.collect_list(F.struct("place", "id", "line"))).alias("x"))
-    return whole.select("asm", F.array_join(F.transform("x", lambda r: r["line"]), "").alias("document"), (F.size("x") - 2).cast("long").alias("n"))
+    """Customers as members of nations' assemblies, a third of them of one: the files as the tasks have written them, read again by
+    lines with their places."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    body = F.concat(F.lit("<summary>"), escape(F.concat_ws(" & ", "c_mktsegment", "n_name")), F.lit("</summary>"))
+    folder = new_path(spark, "files")
+    write_documents(rows.select(F.when(F.col("c_custkey") % 3 == 0, F.lit("Main & more")).otherwise(F.col("n_name")).alias("asm"), F.col("c_name").alias("id"), body.alias("body")), folder)
+    return numbered_lines(spark, f"{folder}/*.xml")
+
+
+def numbered_lines(spark: SparkSession, paths: str) -> DataFrame:
+    """(file, place, line) of text files: a line's place is that in the part of its file that a task reads, and the lines of the parts before."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line"))
+    parts = lines.groupBy("file", "start").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    before = parts.alias("a").join(parts.alias("b"), F.expr("a.file = b.file AND b.start < a.start"), "left").groupBy("a.file", "a.start", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return lines.join(before, ["file", "start"]).select(F.regexp_replace(F.replace("file", F.lit("%20"), F.lit(" ")), "%26", "&").alias("file"), (F.col("before") + F.col("k") - F.col("first")).alias("place"), "line")
 
 
 @query("SELECT d.lang AS asm, CAST(count(l.doc_id) AS BIGINT) AS documented, CAST(count(*) AS BIGINT) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY d.lang")

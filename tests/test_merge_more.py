@@ -100,6 +100,17 @@ def test_wiki_exports_are_read_strictly(spark, tmp_path):
             read(bad)
 
 
+def test_long_heads_and_references(spark, tmp_path):
+    """A namespace may stand behind any number of lines; a reference's name may have any length."""
+    (tmp_path / "w.xml").write_text(WIKI.replace("<mediawiki", "<!--" + "x y\n" * 40_000 + "--><mediawiki lang='en'\n", 1))
+    assert len(files.read_wiki(spark, str(tmp_path / "w.xml")).collect()) == len(WIKI.split("<page>")) - 1
+    (tmp_path / "w.xml").write_text("no markup")
+    with pytest.raises(ValueError, match="not a wiki export"):
+        files.read_wiki(spark, str(tmp_path / "w.xml"))
+    name = "x" * 70
+    assert markup.repaired(f"&{name}; &#{'1' * 70}; &{name} &1;".encode()) == f"&{name}; &#{'1' * 70}; &amp;{name} &amp;1;"
+
+
 def test_malformed_entries_hide_later_ones_of_their_source(spark):
     rows = lambda source, texts: staged(spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(texts)], "ord long, id string, t string").select("ord", "id", doc(raw=F.col("t")).alias("doc")), source)
     none = spark.createDataFrame([], "source string, reason string, entry string")
