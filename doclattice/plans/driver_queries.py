@@ -12,11 +12,15 @@ from doclattice.functions import markup, wikitext
 from doclattice.functions.names import canon_type, folded, norm, split_top
 from doclattice.functions.xml import escape, render
 from doclattice.operators.coverage import coverage as covered
+from doclattice.operators.delta import delta_merge
+from doclattice.operators.edits import apply_edits, found_edits
 from doclattice.operators.merge import least_rows, merge_counts, merge_steps, priority_merge
+from doclattice.operators.references import resolve_references
 from doclattice.operators.resolve import by_id, member_index, resolve_members, resolve_types, tier_counts, type_index
 from doclattice.plans.merge_docs import first_texts, lost
 from doclattice.sources.files import entries
 from doclattice.operators.spread import new_path
+from doclattice.operators.walk import leaves, walk
 from doclattice.sources.sinks import write_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def layers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Three layers that document customers: urgent orders, filled orders, nations."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
     note = lambda prio, source, word: (F.lit(source).alias("source"), F.lit(prio).alias("prio"), F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit(f"{word} "), F.col("o_orderkey").cast("string")).alias("text"))
     urgent = orders.where("o_orderpriority = '1-URGENT'").select(*note(0, "urgent", "urgent"))
     full = orders.where("o_orderstatus = 'F'").select(*note(1, "filled", "filled"))
@@ -186,6 +190,86 @@ def scope_rung(spark, sf_dir):
     return out.select("l_orderkey", F.col("sym.id").cast("long").alias("line"), "reason")
 
 
+_BEFORE = """, before AS (
+    SELECT 'urgent' AS source, 0 AS prio, o_custkey AS id, o_orderkey AS ord, 'urgent ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders WHERE (o_orderpriority = '1-URGENT') <> (o_orderkey % 100 = 7)
+    UNION ALL SELECT 'filled', 1, o_custkey, o_orderkey, 'filled ' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'nation', 2, c_custkey, 0, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+changed AS (SELECT DISTINCT id FROM ((SELECT source, prio, id, ord, text FROM layers EXCEPT ALL FROM before) UNION ALL (FROM before EXCEPT ALL SELECT source, prio, id, ord, text FROM layers)))"""
+
+
+@query(f"WITH {LAYERS}{_BEFORE} SELECT id, source, text, id IN (SELECT id FROM changed) AS again FROM placed WHERE place = 1")
+def delta_merge_query(spark, sf_dir):
+    """The merge of customers' layers after one of a hundred orders has become urgent or has ceased to be: a run with what was before, then one
+    with the tables as they are, which only ranks the customers again that this touches."""
+    orders = table(spark, sf_dir, "orders")
+    flip = F.col("o_orderkey") % 100 == 7
+    was = F.when(flip & (F.col("o_orderpriority") == "1-URGENT"), "2-HIGH").when(flip, "1-URGENT").otherwise(F.col("o_orderpriority"))
+    state = new_path(spark, "state")
+    delta_merge(layers(spark, sf_dir, orders.withColumn("o_orderpriority", was)), state)
+    return delta_merge(layers(spark, sf_dir), state).select("id", "source", "text", "again")
+
+
+QUERIES["delta_merge"], ORACLES["delta_merge"] = QUERIES.pop("delta_merge_query"), ORACLES.pop("delta_merge_query")
+
+
+@query("""WITH titles AS (SELECT '/' || regexp_extract(html, '<title>([^ <]+)', 1) AS ref, max(page_id) AS target FROM pages GROUP BY ref),
+pieces AS (SELECT page_id, unnest(string_split_regex(html, '<a href="[^"]*">')) AS piece, unnest(range(1, 1 + len(string_split_regex(html, '<a href="[^"]*">')))) AS i FROM pages),
+refs AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS ref, unnest(range(1, 1 + len(regexp_extract_all(html, '<a href="([^"]*)">', 1)))) AS i FROM pages),
+put AS (SELECT p.page_id, p.i, r.ref, t.target, piece || CASE WHEN r.i IS NULL THEN '' WHEN t.target IS NULL THEN '<u>' ELSE '<a page="' || CAST(t.target AS VARCHAR) || '">' END AS text FROM pieces p LEFT JOIN refs r ON r.page_id = p.page_id AND r.i = p.i LEFT JOIN titles t ON t.ref = r.ref)
+SELECT page_id, CAST(count(ref) AS BIGINT) AS n_links, CAST(count(target) AS BIGINT) AS hits, md5(string_agg(text, '' ORDER BY i)) AS resolved_md5 FROM put GROUP BY page_id""")
+def page_references(spark, sf_dir):
+    """The links of pages, resolved to the last page whose title begins with the word that they name, before anything is rendered."""
+    pages = table(spark, sf_dir, "pages")
+    title = F.concat(F.lit("/"), F.regexp_extract("html", "<title>([^ <]+)", 1))
+    targets = pages.groupBy(title.alias("ref")).agg(F.max("page_id").cast("string").alias("target"))
+    write = lambda match, ref, target: F.when(target.isNull(), "<u>").otherwise(F.concat(F.lit('<a page="'), target, F.lit('">')))
+    out = resolve_references(pages.select("page_id", "html"), "page_id", "html", '<a href="([^"]*)">', targets, write)
+    return out.select("page_id", F.col("references").alias("n_links"), "hits", F.md5(F.encode("resolved", "utf-8")).alias("resolved_md5"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]{12,}|[0-9]+')) AS BIGINT) AS n_edits, CAST(0 AS BIGINT) AS again, md5(regexp_replace(text, '[A-Za-z]{12,}|[0-9]+', '[long]', 'g')) AS edited_md5 FROM documents""")
+def text_edits(spark, sf_dir):
+    """Long words and numbers of whole documents as a list of edits, which are made; the edited texts have none to make."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = apply_edits(docs, found_edits(docs, "doc_id", "text", "[A-Za-z]{12,}|[0-9]+", "[long]"), "doc_id", "text")
+    again = F.size(F.regexp_extract_all("edited", F.lit("[A-Za-z]{12,}|[0-9]+"), F.lit(0))).cast("long")
+    return made.select("doc_id", "n_edits", again.alias("again"), F.md5(F.encode("edited", "utf-8")).alias("edited_md5"))
+
+
+@query("""WITH RECURSIVE edges AS (
+    SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS parent, 'n' || CAST(n_nationkey AS VARCHAR) AS child, n_name AS name FROM nation
+    UNION ALL SELECT 'n' || CAST(c_nationkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR), c_name FROM customer
+    UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), 'o' || CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders),
+tree AS (
+    SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS node, CAST(0 AS BIGINT) AS depth, r_name AS path FROM region
+    UNION ALL SELECT e.child, t.depth + 1, t.path || '/' || e.name FROM tree t JOIN edges e ON e.parent = t.node)
+SELECT node, depth, path FROM tree""")
+def nested_containers(spark, sf_dir):
+    """Regions, their nations, these nations' customers and their orders, found by walking from the regions; an edge from each nation
+    back to its region leads nowhere new."""
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    edges = nation.select(key("r", "n_regionkey").alias("parent"), key("n", "n_nationkey").alias("child"), F.col("n_name").alias("name"))
+    edges = edges.unionByName(nation.select(key("n", "n_nationkey").alias("parent"), key("r", "n_regionkey").alias("child"), F.lit("back").alias("name")))
+    edges = edges.unionByName(customer.select(key("n", "c_nationkey").alias("parent"), key("c", "c_custkey").alias("child"), F.col("c_name").alias("name")))
+    edges = edges.unionByName(orders.select(key("c", "o_custkey").alias("parent"), key("o", "o_orderkey").alias("child"), F.col("o_orderkey").cast("string").alias("name")))
+    return walk(edges, table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("node"), F.col("r_name").alias("name")))
+
+
+@query("""SELECT event_id, path, leaf FROM (
+    SELECT event_id, '$.props.k' AS path, json_extract_string(props, '$.k') AS leaf FROM events
+    UNION ALL SELECT event_id, '$.at[0].user', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, '$.at[0].type', event_type FROM events
+    UNION ALL SELECT event_id, '$.at[1]', CASE WHEN event_id % 3 <> 0 THEN '#autoLOC_' || CAST(event_id AS VARCHAR) END FROM events)
+WHERE path <> '$.at[1]' OR leaf IS NOT NULL""")
+def argument_leaves(spark, sf_dir):
+    """Events as nested arguments, their props among them, walked to their scalars; strings that aren't keys of a dictionary don't
+    count among the last."""
+    last = F.when(F.col("event_id") % 3 == 0, F.lit('"plain"')).otherwise(F.concat(F.lit('"#autoLOC_'), F.col("event_id").cast("string"), F.lit('"')))
+    text = F.concat(F.lit('{"props":'), "props", F.lit(',"at":[{"user":'), F.col("user_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('"},'), last, F.lit('],"none":{}}'))
+    found = leaves(table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v")), ["event_id"], "v")
+    return found.where((F.col("path") != "$.at[1]") | F.startswith(F.lower("leaf"), F.lit("#autoloc")))
+
+
 @query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text <> '') AS tooltip, arg_min(text, turn) FILTER (WHERE role = 'user' AND text <> '') AS label FROM conversations GROUP BY conv_id")
 def first_tooltip_label(spark, sf_dir):
     """Turns as arguments of an attribute: the assistant's are sentences, the user's names."""
