@@ -76,6 +76,6 @@ def told(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequenc
         return rows.join(side.drop("__n"), "__k", "left").drop("__k")
     rows = rows.join(F.broadcast(hot.select("__k", F.col("found").alias("__hot"))), "__k", "left")
     rows = rows.withColumn("__s", F.when(F.col("__hot").isNotNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
-    # hot keys have no row on this side, so that no hash meets one by chance
-    cold = side.join(F.broadcast(hot.select("__k")), "__k", "left_anti").select("__k", F.lit(0).cast("long").alias("__s"), F.col("found").alias("__cold"))
+    # hot keys have no row on this side, so that no hash meets one by chance; its 0 is computed, since a literal would be no key to deal by
+    cold = side.join(F.broadcast(hot.select("__k")), "__k", "left_anti").select("__k", F.least(F.lit(0).cast("long"), "__n").alias("__s"), F.col("found").alias("__cold"))
     return rows.join(cold, ["__k", "__s"], "left").withColumn("found", F.coalesce("__hot", "__cold")).drop("__k", "__s", "__hot", "__cold")
