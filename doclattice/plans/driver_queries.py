@@ -358,7 +358,7 @@ def kind_filter(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "function").when(F.col("event_type") == "view", "variable").when(F.col("event_type") == "purchase", "property").otherwise("friend")
     raw = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"), F.lit("member").alias("what"), outer.alias("outer"), F.lit("Deep::Place").alias("container"), kind.alias("kind"), F.when(cast, "operator Place").otherwise(F.concat("event_type", F.lit("<A, B>"))).alias("own"),
-        none("string")("parent"), text("args"), F.when(cast, "implicit").otherwise("void").alias("type"), F.lit(True).alias("static"), F.array().cast("array<string>").alias("written"), text("ref"), none("string")("brief"), none("string")("detailed"), F.array().cast("array<string>").alias("refs"), F.lit(False).alias("has_doc"),
+        none("string")("parent"), text("args"), F.when(cast, "implicit").otherwise("void").alias("type"), F.lit(True).alias("static"), F.array().cast("array<string>").alias("written"), text("ref"), none("string")("brief"), none("string")("detailed"), F.lit(False).alias("has_doc"),
     )
     return entries(raw).groupBy("what", "kind", "name", F.col("tparams").cast("long").alias("tparams")).agg(F.count("*").alias("n"))
 
