@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclattice.functions import markup, wikitext
@@ -17,11 +17,12 @@ from doclattice.operators.edits import apply_edits, found_edits
 from doclattice.operators.merge import least_rows, merge_counts, merge_steps, priority_merge
 from doclattice.operators.references import resolve_references
 from doclattice.operators.resolve import by_id, member_index, resolve_members, resolve_types, tier_counts, type_index
+from doclattice.plans import merge_docs as layers_of
 from doclattice.plans.merge_docs import first_texts, lost
-from doclattice.sources.files import entries
+from doclattice.sources.files import EXPORT, archive_entries, entries
 from doclattice.operators.spread import new_path
 from doclattice.operators.walk import leaves, walk
-from doclattice.sources.sinks import write_documents
+from doclattice.sources.sinks import write_documents, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -386,3 +387,133 @@ QUERIES["priority_merge"] = QUERIES.pop("priority_merge_query")
 ORACLES["priority_merge"] = ORACLES.pop("priority_merge_query")
 QUERIES["split_top"] = QUERIES.pop("split_top_query")
 ORACLES["split_top"] = ORACLES.pop("split_top_query")
+
+
+_NONE = F.lit(None).cast("array<string>")
+
+
+def symbols_of(*parts: DataFrame) -> DataFrame:
+    """Rows of symbols from (ord, id, kind, name, type, ptypes, pnames, loc), all in one assembly."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumns({"asm": F.lit("Shop"), "full": F.concat_ws(".", F.nullif("type", F.lit("")), "name"), "prefs": F.transform("ptypes", lambda t: F.lit("None")), "tparams": F.lit(0)})
+
+
+def symbol(part: DataFrame, at: int, kind: str, id_, name, type_, ptypes=None, pnames=None, loc=None) -> DataFrame:
+    text = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else _NONE
+    return part.select((F.col("p_partkey") * 10 + at).alias("ord"), id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), type_.alias("type"), text(ptypes).alias("ptypes"), text(pnames).alias("pnames"), (F.lit(None).cast("array<array<string>>") if loc is None else loc).alias("loc"))
+
+
+def joined(*parts) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+@query("""WITH texts AS (
+    SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN upper(split_part(p_name, ' ', 1)) || '-' ELSE p_name || ' <' || CAST(p_size AS VARCHAR) || '>' END AS t FROM part WHERE p_partkey % 4 <> 3 OR p_partkey % 5 = 0),
+rows AS (
+    SELECT p.p_partkey AS k, 'F:Shop.' || CAST(CASE WHEN p.p_partkey % 10 = 1 THEN p.p_partkey - 1 ELSE p.p_partkey END AS VARCHAR) AS id,
+        CASE WHEN p_size % 3 = 0 THEN tip.t END AS tip, CASE WHEN lower(regexp_replace(own.t, '[^A-Za-z0-9]', '', 'g')) <> lower(split_part(p_name, ' ', 1)) THEN own.t END AS label
+    FROM part p LEFT JOIN texts own ON own.k = p.p_partkey LEFT JOIN texts tip ON tip.k = p.p_partkey + 1),
+last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS place FROM rows WHERE tip IS NOT NULL OR label IS NOT NULL),
+shown AS (SELECT id, replace(replace(replace(tip, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS tip, 'In-game label: ' || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS label FROM last WHERE place = 1)
+SELECT id, '<summary>' || coalesce(tip, label) || '</summary>' || CASE WHEN tip IS NOT NULL AND label IS NOT NULL THEN '<remarks>' || label || '</remarks>' ELSE '' END || '<remarks>Source: game UI text (en-us localization).</remarks>' AS body FROM shown""")
+def interface_texts(spark, sf_dir):
+    """Parts' names as dictionaries of two stock folders and one that isn't, written as files; parts as fields whose attributes name
+    their own key and the next one's: keys without a text, labels that only repeat a name, ids with two rows."""
+    part = table(spark, sf_dir, "part")
+    key, k = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    line = lambda text: joined("\t\t#LOC_P", k, " = ", text, "\n")
+    texts = part.where(key % 4 != 3).select(F.lit("Squad/Localization/d").alias("top"), key.alias("at"), line(joined(F.col("p_name"), "\\n<", F.col("p_size"), ">")).alias("line"))
+    texts = texts.unionByName(part.where(key % 5 == 0).select(F.lit("SquadExpansion/More/Localization/e"), key.alias("at"), line(joined(F.upper(first), "-")).alias("line")).toDF("top", "at", "line"))
+    texts = texts.unionByName(part.select(F.lit("Other/Localization/f"), key.alias("at"), line(F.lit("wrong")).alias("line")).toDF("top", "at", "line"))
+    texts = texts.select(F.concat("top", (F.col("at") % 16).cast("string"), F.lit(".cfg")).alias("file"), "at", "line")
+    ends = texts.select("file").distinct().select("file", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit("\ufeffLocalization\n{\n\ten-us\n\t{\n").alias("line")), F.struct(F.lit(1 << 60).alias("at"), F.lit("\t}\n}\n").alias("line")))).alias("x")).select("file", "x.at", "x.line")
+    folder = new_path(spark, "data")
+    write_files(texts.unionByName(ends), ["at"], folder)
+    same = F.when(key % 10 == 1, key - 1).otherwise(key)
+    loc = F.filter(F.array(F.array(F.lit("Gui"), F.lit("guiName"), joined("#loc_p", k)), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("Gui"), F.lit("toolTip"), joined("#LOC_P", key + 1)))), lambda x: x.isNotNull())
+    symbols = symbols_of(symbol(part, 0, "Field", joined("F:Shop.", same), first, F.lit("Shop"), loc=loc))
+    return layers_of.game_layer(spark, folder, symbols).docs.select("id", render(F.col("doc")).alias("body"))
+
+
+@query("""WITH old AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s, p_name, p_size FROM part),
+asked AS (SELECT *, CASE k % 4 WHEN 0 THEN 'M:Shop.P' || s || '.Do(System.Int32)' WHEN 1 THEN 'M:P' || s || '.Do(System.Int32,System.Single@)' WHEN 2 THEN 'M:Shop.P' || s || '.Gone' ELSE 'M:Nowhere' || s || '.Do(System.Int32)' END AS old_id FROM old)
+SELECT old_id AS entry, CASE k % 4 WHEN 0 THEN 'M:Shop.P' || s || '.Do(System.Int32)' WHEN 1 THEN 'M:Shop.P' || s || '.Do(System.Int32,System.Single)' END AS id,
+    CASE k % 4 WHEN 2 THEN 'type exists, no member with this name' WHEN 3 THEN 'containing type not found' ELSE CAST(p_size AS VARCHAR) || ' &lt; 99 &amp; <summary>' || p_name || ' more</summary>' || CASE WHEN k % 4 = 0 THEN '' ELSE '<param name="x">kept</param>' END || '<remarks>Source: anatid community API documentation (2015).</remarks>' END AS text
+FROM asked""")
+def old_member_files(spark, sf_dir):
+    """Parts as members of an older documentation, written as one file: ids that are still there, that have moved, whose member or whose type
+    is gone; parameters that a symbol has lost go, too."""
+    part = table(spark, sf_dir, "part")
+    key, k = F.col("p_partkey") % 4, F.col("p_partkey")
+    old = F.when(key == 0, joined("M:Shop.P", k, ".Do(System.Int32)")).when(key == 1, joined("M:P", k, ".Do(System.Int32,System.Single@)")).when(key == 2, joined("M:Shop.P", k, ".Gone")).otherwise(joined("M:Nowhere", k, ".Do(System.Int32)"))
+    body = joined(" ", F.col("p_size"), " &lt; 99 &amp; <summary>", escape(F.col("p_name")), "\n   more</summary><param name=\"x\">kept</param><param name=\"lost\">y</param>")
+    folder = new_path(spark, "old")
+    write_documents(part.select(F.lit("Old").alias("asm"), old.alias("id"), body.alias("body")), folder)
+    types = symbol(part, 0, "NamedType", joined("T:Shop.P", k), joined("P", k), F.lit("Shop"))
+    one = symbol(part, 1, "Method", joined("M:Shop.P", k, ".Do(System.Int32)"), F.lit("Do"), joined("Shop.P", k), ["int"], ["n"])
+    two = symbol(part, 2, "Method", joined("M:Shop.P", k, ".Do(System.Int32,System.Single)"), F.lit("Do"), joined("Shop.P", k), ["int", "float"], ["n", "x"])
+    layer = layers_of.anatid_layer(spark, f"{folder}/Old.xml", symbols_of(types, one, two))
+    names = part.select(old.alias("entry"), F.when(key == 0, joined("M:Shop.P", k, ".Do(System.Int32)")).when(key == 1, joined("M:Shop.P", k, ".Do(System.Int32,System.Single)")).alias("id"))
+    docs = layer.docs.select("id", F.col("doc.raw").alias("text")).join(names, "id").select("entry", "id", "text")
+    return docs.unionByName(layer.unmatched.select("entry", F.lit(None).cast("string").alias("id"), F.col("reason").alias("text")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s, p_name, p_type, p_brand, CAST(p_size AS VARCHAR) AS z FROM part),
+found AS (SELECT *, '<remarks>Source: KSP wiki page API:P' || s || ', last edited 2020-01-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || '.</remarks>' AS origin FROM p WHERE k % 5 <> 4)
+SELECT 'T:Shop.P' || s AS id, '<summary>' || p_name || ' of ' || p_type || '</summary>' || origin AS body FROM found
+UNION ALL SELECT 'M:Shop.P' || s || '.Do(System.Int32,System.Single)', '<summary>Does it &amp; more, <code>a &lt; ' || z || '</code></summary><param name="n">Needs &lt;' || p_brand || '&gt;</param>' || CASE WHEN k % 3 = 0 THEN '<returns>e^' || z || '</returns>' ELSE '' END || origin FROM found
+UNION ALL SELECT 'F:Shop.P' || s || '.size', '<summary>' || z || '</summary>' || origin FROM found WHERE k % 2 = 0
+UNION ALL SELECT 'API:P' || s, 'page title names no type' FROM p WHERE k % 5 = 4
+UNION ALL SELECT 'Shop.P' || s || '.Gone()', 'type exists, no member with this name' FROM found WHERE k % 2 = 1""")
+def wiki_pages(spark, sf_dir):
+    """Parts as pages of a wiki export, written as one file: templates with nested ones, links, marks and code; placeholders; pages and
+    members that no symbol has."""
+    part = table(spark, sf_dir, "part")
+    k, z = F.col("p_partkey"), F.col("p_size")
+    returns = F.when(k % 3 == 0, joined("e<sup>", z, "</sup>")).otherwise(F.lit("? Summary goes here."))
+    last = F.when(k % 2 == 0, joined("{{Field|name=size|desc=? ", z, "}} {{field |name=other|desc=description goes here}}")).otherwise(F.lit("{{Method|name=Gone|desc=None left|args=}}"))
+    text = joined("{{Class|summary='''", F.col("p_name"), "''' of [[API:X|''", F.col("p_type"), "'']]}}\n== Methods ==\n{{method|name=Do|args={{arg|int|n|desc=Needs <", F.col("p_brand"), ">}}, float x|desc=Does<br/>it &amp; more, <source lang=c>a < ", z, "</source>|returndesc=", returns, "}}\n", last)
+    page = joined("<page><title>API:P", k, "</title><revision><timestamp>2020-01-", F.lpad((k % 28 + 1).cast("string"), 2, "0"), "T00:00:00Z</timestamp><text>", escape(text), "</text></revision></page>\n")
+    other = joined("<page><title>P", k, "</title><revision><timestamp>x</timestamp><text>{{Class|summary=wrong}}</text></revision></page>\n")
+    ends = spark.createDataFrame([(-1, f'<mediawiki xmlns="{EXPORT}" xml:lang="en">\n'), (1 << 60, "</mediawiki>\n")], "at long, line string")
+    lines = part.select(k.alias("at"), F.concat(page, other).alias("line")).unionByName(ends).withColumn("file", F.lit("export.xml.wiki"))
+    folder = new_path(spark, "wiki")
+    write_files(lines, ["at"], folder)
+    types = symbol(part.where(k % 5 != 4), 0, "NamedType", joined("T:Shop.P", k), joined("P", k), F.lit("Shop"))
+    do = symbol(part, 1, "Method", joined("M:Shop.P", k, ".Do(System.Int32,System.Single)"), F.lit("Do"), joined("Shop.P", k), ["int", "float"], ["n", "x"])
+    size = symbol(part, 2, "Field", joined("F:Shop.P", k, ".size"), F.lit("size"), joined("Shop.P", k))
+    layer = layers_of.wiki_layer(spark, f"{folder}/export.xml.wiki", symbols_of(types, do, size))
+    return layer.docs.select("id", render(F.col("doc")).alias("body")).unionByName(layer.unmatched.select(F.col("entry").alias("id"), F.col("reason").alias("body")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS s, p_name, CAST(p_size AS VARCHAR) AS z, max(p_partkey) OVER () AS top FROM part),
+good AS (SELECT * FROM p WHERE k % 7 <> 3)
+SELECT 'T:Shop.P' || s AS id, '<summary>' || CASE WHEN k % 2 = 0 THEN '<para>' || p_name || ' R&amp;D</para><para>Size <b>' || z || '</b> - fine.</para>' ELSE p_name || ' R&amp;D' END || '</summary>' AS body FROM good
+UNION ALL SELECT 'M:Shop.P' || s || '.Do(System.Int32,System.Single@)', '<summary>See ' || CASE WHEN k < top AND (k + 1) % 7 <> 3 THEN '<see cref="T:Shop.P' || CAST(k + 1 AS VARCHAR) || '"/>' ELSE 'next &gt;' END || ' &amp; rest.</summary><param name="n">How <i>many</i></param><returns>All ' || z || '</returns><remarks>See also: ' || z || '</remarks>' FROM good
+UNION ALL SELECT 'F:Shop.P' || s || '.Mode.On', '<summary>Runs ' || z || '</summary>' FROM good
+UNION ALL SELECT 'Shop.P' || s || '.Mode.Off', 'enum exists, no value with this name' FROM good
+UNION ALL SELECT 'Shop.P' || s || '.Lost()', 'type exists, no member with this name' FROM good WHERE k % 3 = 0
+UNION ALL SELECT 'files that are not well-formed', CAST(count(*) AS VARCHAR) FROM p WHERE k % 7 = 3""")
+def described_files(spark, sf_dir):
+    """Parts as files of descriptions: types, members and values of enums with marks, references to the next part's type, parameters that a
+    symbol lacks, stray ampersands, and files that are cut off."""
+    part = table(spark, sf_dir, "part")
+    k, z = F.col("p_partkey"), F.col("p_size")
+    more = F.when(k % 2 == 0, joined("<para>Size <bold>", z, "</bold> <ndash/> fine.</para>")).otherwise(F.lit("<para> </para>"))
+    lost = F.when(k % 3 == 0, "<memberdef kind='function' id='l'><name>Lost</name><argsstring>()</argsstring><type>void</type><briefdescription><para>x</para></briefdescription></memberdef>").otherwise(F.lit(""))
+    text = joined(
+        "<?xml version='1.0' encoding='UTF-8'?><doxygen><compounddef kind='class' id='c", k, "'><compoundname>Shop::P", k, "</compoundname><location file='R&D/x'/><briefdescription><para>", escape(F.col("p_name")), " R&D</para></briefdescription><detaileddescription>", more, "</detaileddescription><sectiondef>",
+        "<memberdef kind='function' id='m", k, "' static='no'><name>Do</name><argsstring>(int n, ref float x)</argsstring><type>void</type><param><type>int</type><declname>n</declname></param><param><type>ref float</type><declname>x</declname></param><briefdescription><para>See <ref kindref='compound' refid='c", k + 1, "'>next &gt;</ref> &amp; rest.</para></briefdescription>",
+        "<detaileddescription><para><parameterlist kind='param'><parameteritem><parameternamelist><parametername>n</parametername></parameternamelist><parameterdescription><para>How <emphasis>many</emphasis></para></parameterdescription></parameteritem><parameteritem><parameternamelist><parametername>gone</parametername></parameternamelist><parameterdescription><para>y</para></parameterdescription></parameteritem></parameterlist><simplesect kind='return'><para>All ", z, "</para></simplesect><simplesect kind='author'><para>me</para></simplesect><simplesect kind='see'><para>", z, "</para></simplesect></para></detaileddescription></memberdef>", lost,
+        "<memberdef kind='enum' id='e", k, "'><name>Mode</name><enumvalue id='v", k, "'><name>On</name><briefdescription><para>Runs ", z, "</para></briefdescription></enumvalue><enumvalue id='w'><name>Off</name><briefdescription><para>Not</para></briefdescription></enumvalue><briefdescription/></memberdef></sectiondef></compounddef>", F.when(k % 7 == 3, "").otherwise("</doxygen>"),
+    )
+    types = symbol(part, 0, "NamedType", joined("T:Shop.P", k), joined("P", k), F.lit("Shop"))
+    modes = symbol(part, 1, "NamedType", joined("T:Shop.P", k, ".Mode"), F.lit("Mode"), joined("Shop.P", k))
+    on = symbol(part, 2, "Field", joined("F:Shop.P", k, ".Mode.On"), F.lit("On"), joined("Shop.P", k, ".Mode"))
+    do = symbol(part, 3, "Method", joined("M:Shop.P", k, ".Do(System.Int32,System.Single@)"), F.lit("Do"), joined("Shop.P", k), ["int", "float"], ["n", "x"])
+    layer = layers_of.official_entries(archive_entries(part.select(k.cast("int").alias("i"), F.encode(text, "utf-8").alias("data"))), symbols_of(types, modes, on, do))
+    bad = layer.steps.where("step = 'unparseable files'").agg(F.count("*").cast("string").alias("body")).select(F.lit("files that are not well-formed").alias("id"), "body")
+    return layer.docs.select("id", render(F.col("doc")).alias("body")).unionByName(layer.unmatched.select(F.col("entry").alias("id"), F.col("reason").alias("body"))).unionByName(bad)
