@@ -42,6 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined(*parts) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
 def layers(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Three layers that document customers: urgent orders, filled orders, nations."""
     orders = table(spark, sf_dir, "orders") if orders is None else orders
@@ -298,22 +302,34 @@ def markup_to_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", plain(markup_).alias("text"))
 
 
-@query("SELECT p_partkey, 'List<int,' || regexp_replace(p_brand, '\\s+', '', 'g') || '>' AS canon FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'List<int,' || p_brand || '>' WHEN 1 THEN 'string[' || repeat(',', p_size % 3) || ']' WHEN 2 THEN 'Strings<' || regexp_replace(p_type, '\\s+', '', 'g') || ',float>'
+    WHEN 3 THEN 'Int32x' || p_brand ELSE repeat('List<', p_size % 4) || 'bool' || repeat('>', p_size % 4) END AS canon FROM part""")
 def canon_name(spark, sf_dir):
-    written = F.concat(F.lit("System . Collections.Generic.List{System.Int32, Shop."), F.col("p_brand"), F.lit("}@"))
-    brand = F.regexp_replace(canon_type(F.regexp_replace(written, "#", "__")), "__", "#")
-    return table(spark, sf_dir, "part").select("p_partkey", brand.alias("canon"))
-
-
-@query("SELECT p_partkey, CAST(3 AS BIGINT) AS n, p_brand || '<' || CAST(p_size AS VARCHAR) || ',x>' AS one, '(' || p_type || ',[y,z])' AS two, p_name AS three FROM part")
+    """Types in many spellings: white space and braces, by-reference marks, arrays, aliases that are only part of a name, nesting."""
+    size = F.col("p_size")
+    shapes = [
+        joined("System . Collections.Generic.List{System.Int32, Shop.", F.col("p_brand"), "}@"), joined("System.String [", F.repeat(F.lit(","), size % 3), "]&"), joined("Outer.Strings<A.B.", F.col("p_type"), ", System.\tSingle>"),
+        joined("Deep . Er.Int32x", F.col("p_brand")), joined(F.repeat(F.lit("A.List{ "), size % 4), "System.Boolean", F.repeat(F.lit("} "), size % 4), "@"),
+    ]
+    written = shapes[4]
+    for i in (3, 2, 1, 0):
+        written = F.when(F.col("p_partkey") % 5 == i, shapes[i]).otherwise(written)
+    return table(spark, sf_dir, "part").select("p_partkey", canon_type(written).alias("canon"))
+
+
+@query("""SELECT p_partkey, CAST(3 + p_size % 3 AS BIGINT) AS n, p_brand || repeat('<', p_size % 5) || CAST(p_size AS VARCHAR) || CASE WHEN p_size % 5 > 0 THEN ',x' ELSE '' END || repeat('>', p_size % 5) AS one, '(' || p_type || ',[y,z])' AS two, CASE WHEN p_size % 3 > 0 THEN '' ELSE p_name END AS three FROM part""")
 def split_top_query(spark, sf_dir):
-    text = F.concat(F.col("p_brand"), F.lit("<"), F.col("p_size").cast("string"), F.lit(",x>,("), F.col("p_type"), F.lit(",[y,z]),"), F.col("p_name"))
+    """Lists whose parts are nested to any depth, with empty parts among them."""
+    size, depth = F.col("p_size"), F.col("p_size") % 5
+    text = joined(F.col("p_brand"), F.repeat(F.lit("<"), depth), size, F.when(depth > 0, ",x").otherwise(""), F.repeat(F.lit(">"), depth), ",(", F.col("p_type"), ",[y,z]),", F.repeat(F.lit(","), size % 3), F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", split_top(text).alias("x")).select("p_partkey", F.size("x").cast("long").alias("n"), *(F.get("x", i).alias(c) for i, c in enumerate(("one", "two", "three"))))
 
 
-@query("""SELECT p_partkey, '<summary>' || replace(replace(replace(p_name, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') || '</summary><param name="' || p_brand || '">' || p_type || '</param><returns>' || CAST(p_size AS VARCHAR) || '</returns><remarks>' || p_type || '</remarks>' AS body FROM part""")
+@query("""SELECT p_partkey, '<summary>' || replace(replace(replace(p_name, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') || '</summary><param name=' || CASE p_partkey % 4 WHEN 0 THEN '"' || p_brand || '"' WHEN 1 THEN '''"' || p_brand || '"''' WHEN 2 THEN '"' || p_brand || '''s"' ELSE '"&quot;' || p_brand || '''&quot;&#10;&lt;"' END || '>' || p_type || '</param><returns>' || CAST(p_size AS VARCHAR) || '</returns><remarks>' || p_type || '</remarks>' AS body FROM part""")
 def render_member(spark, sf_dir):
-    named = F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_type").alias("text")))
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.col("p_brand")).when(k == 1, joined('"', F.col("p_brand"), '"')).when(k == 2, joined(F.col("p_brand"), "'s")).otherwise(joined('"', F.col("p_brand"), "'\"\n<"))
+    named = F.array(F.struct(name.alias("name"), F.col("p_type").alias("text")))
     doc = F.struct(escape(F.col("p_name")).alias("summary"), named.alias("params"), F.slice(named, 1, 0).alias("typeparams"), F.col("p_size").cast("string").alias("returns"), F.array("p_type").alias("remarks"), F.lit(None).cast("string").alias("raw"))
     return table(spark, sf_dir, "part").select("p_partkey", render(doc).alias("body"))
 
@@ -405,10 +421,6 @@ def symbol(part: DataFrame, at: int, kind: str, id_, name, type_, ptypes=None, p
     return part.select((F.col("p_partkey") * 10 + at).alias("ord"), id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), type_.alias("type"), text(ptypes).alias("ptypes"), text(pnames).alias("pnames"), (F.lit(None).cast("array<array<string>>") if loc is None else loc).alias("loc"))
 
 
-def joined(*parts) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-
-
 @query("""WITH texts AS (
     SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN upper(split_part(p_name, ' ', 1)) || '-' ELSE p_name || ' <' || CAST(p_size AS VARCHAR) || '>' END AS t FROM part WHERE p_partkey % 4 <> 3 OR p_partkey % 5 = 0),
 rows AS (

@@ -100,6 +100,25 @@ def test_wiki_exports_are_read_strictly(spark, tmp_path):
             read(bad)
 
 
+def test_runs_of_the_same_inputs_are_skipped(spark, folder):
+    """By times, or else by contents; not if an input or a result has changed, and never unless asked for."""
+    import os
+
+    args = {"wiki": str(files.newest_export(folder)), "gamedata": str(folder / "data"), "if_changed": True}
+    run = lambda **more: merge_docs(spark, str(folder / "symbols.json"), str(folder / "kept"), **(args | more))
+    first, again = run(), run()
+    assert not first.skipped and again.skipped
+    assert (again.stats, again.lines, again.coverage, again.unmatched) == (first.stats, first.lines, first.coverage, first.unmatched) and first.unmatched
+    os.utime(args["wiki"], (1, 1))
+    assert run().skipped
+    (folder / "data/Squad/Localization/zz.cfg").write_text("en-us\n{\n\t#far_none = Now there\n}\n")
+    new = run()
+    assert not new.skipped and new.unmatched == []
+    assert run().skipped and not run(if_changed=False).skipped
+    (folder / "kept/Core.xml").write_text("changed")
+    assert not run().skipped and "changed" not in (folder / "kept/Core.xml").read_text()
+
+
 def test_long_heads_and_references(spark, tmp_path):
     """A namespace may stand behind any number of lines; a reference's name may have any length."""
     (tmp_path / "w.xml").write_text(WIKI.replace("<mediawiki", "<!--" + "x y\n" * 40_000 + "--><mediawiki lang='en'\n", 1))
