@@ -18,7 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents; with the session's setting ``doclattice.spread`` = true, which is the caller's choice for small tables of few files,
     dealt to all cores."""
     docs = table(spark, sf_dir, "documents")
-    return spread_small(docs) if spark.conf.get("doclattice.spread", "false") == "true" else docs
+    return spread_small(docs) if spreads(spark) else docs
+
+
+def spreads(spark: SparkSession) -> bool:
+    return spark.conf.get("doclattice.spread", "false") == "true"
 
 
 def tokenizer(name: str) -> str:
@@ -60,7 +64,7 @@ def op5_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclattice.llm.line_frequency import drop_frequent_lines
 
-    kept = drop_frequent_lines(table(spark, sf_dir, "documents"))
+    kept = drop_frequent_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "source", "n_lines", "n_dropped", F.md5(F.encode("kept_text", "utf-8")).alias("kept_md5"))
 
 
@@ -88,7 +92,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from doclattice.llm.byte_bpe import digests, encode_documents
 
-    return digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=True))
+    return digests(encode_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=not spreads(spark)))
 
 
 def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

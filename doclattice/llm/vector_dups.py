@@ -171,8 +171,10 @@ def vector_near_dups(df: DataFrame, threshold: float = 0.98, projections: int |
     degree = found.groupBy("no").agg(F.sum("n").alias("links"))
     roots = connected_components(found.select("no", "root").distinct(), "no", "root").withColumnRenamed("id", "no")
     known = written(hashes.select("no", "label", "vec", "rep", "copies").join(degree, "no", "left").join(roots, "no", "left").withColumn("component", F.coalesce("component", "no")), "vector-classes")
-    least = known.groupBy("component").agg(F.min("rep").alias("least"))
-    classes = known.join(least, "component").select(F.struct("label", "vec").alias("key"), F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
+    # a component may hold most of all vectors: those of hot ones stay where they are
+    least = written(known.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "vector-components")
+    classes = join_spread(known, least, "component", F.xxhash64("no"))
+    classes = classes.select(F.struct("label", "vec").alias("key"), F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("found.least").alias("least"))
     each = packed.withColumn("key", F.when(F.col("vec").isNotNull(), F.struct("label", "vec")))
     none = F.struct(F.xxhash64("vec_id").alias("label"), F.unhex(F.md5(F.col("vec_id").cast("string").cast("binary"))).alias("vec"))
     each = join_spread(each, written(classes, "vector-results"), "key", none)
