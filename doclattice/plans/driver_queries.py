@@ -405,9 +405,6 @@ QUERIES["split_top"] = QUERIES.pop("split_top_query")
 ORACLES["split_top"] = ORACLES.pop("split_top_query")
 
 
-_NONE = F.lit(None).cast("array<string>")
-
-
 def symbols_of(*parts: DataFrame) -> DataFrame:
     """Rows of symbols from (ord, id, kind, name, type, ptypes, pnames, loc), all in one assembly."""
     out = parts[0]
@@ -417,7 +414,7 @@ def symbols_of(*parts: DataFrame) -> DataFrame:
 
 
 def symbol(part: DataFrame, at: int, kind: str, id_, name, type_, ptypes=None, pnames=None, loc=None) -> DataFrame:
-    text = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else _NONE
+    text = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(None).cast("array<string>")
     return part.select((F.col("p_partkey") * 10 + at).alias("ord"), id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), type_.alias("type"), text(ptypes).alias("ptypes"), text(pnames).alias("pnames"), (F.lit(None).cast("array<array<string>>") if loc is None else loc).alias("loc"))
 
 

@@ -31,3 +31,10 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_modules_are_imported_without_spark():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.oracle_sql()) > 25"], check=True, cwd=os.path.dirname(entry.__file__), timeout=120)
