@@ -168,3 +168,24 @@ ORACLES: dict[str, str] = {
             md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_md5
         FROM flagged GROUP BY doc_id, source""",
 }
+
+#: Assignments of parts to the entries of a codebook, and the codebook that follows from them, for op12's SQL.
+_NEAR = """near_{i} AS (
+            SELECT no, p, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (
+                SELECT o.no, o.p, b.e, list_sum(list_transform(list_zip(o.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts o JOIN books_{i} b ON b.p = o.p) GROUP BY no, p)"""
+_MOVED = """sums_{i} AS (
+            SELECT o.p, n.e, j, CAST(floor(sum(o.q[j]) / count(*)) AS BIGINT) AS x FROM near_{i} n JOIN parts o ON o.no = n.no AND o.p = n.p, unnest(range(1, len(o.q) + 1)) AS u(j) GROUP BY o.p, n.e, j),
+        books_{k} AS (
+            SELECT b.p, b.e, coalesce(m.q, b.q) AS q FROM books_{i} b LEFT JOIN (SELECT p, e, list(x ORDER BY j) AS q FROM sums_{i} GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+_ROUNDS = ",\n        ".join([_NEAR.format(i=0), _MOVED.format(i=0, k=1), _NEAR.format(i=1), _MOVED.format(i=1, k=2), _NEAR.format(i=2)])
+
+ORACLES["op12_vector_codes"] = f"""
+        WITH usable AS (
+            SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q, row_number() OVER (ORDER BY vec_id, embedding) AS no FROM embeddings
+            WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        parts AS MATERIALIZED (SELECT no, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS q FROM usable, unnest(range(0, 16)) AS u(p)),
+        books_0 AS (SELECT p, no - 1 AS e, q FROM parts WHERE no <= 64),
+        {_ROUNDS},
+        coded AS (SELECT no, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near_2 GROUP BY no),
+        digest AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books_2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM usable JOIN coded USING (no), digest"""
