@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
+import uuid
 from collections import defaultdict
 from functools import lru_cache
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import columns, map_groups, schema_of, written
+from doclattice.llm.shared import ARROW_BYTES, arrow_rows, columns, maybe_broadcast, small_batches, table_path, written
 from doclattice.llm.word_tokens import latin
 
-#: Characters of text in one block of documents, and of one piece of words sent between tasks.
+#: Characters of text in one block of documents.
 BLOCK_CHARS = 10_000_000
-#: Distinct words that a bucket's task remembers, about 60 MB; with more in one bucket, some are encoded again.
-MOST_WORDS = 400_000
+#: Tasks that put blocks together; with more blocks, a task has several, one after another.
+MOST_TASKS = 50_000
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0"
 
 
@@ -78,26 +79,39 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
     return data[np.repeat(at[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes() if len(ids) else b""
 
 
-def packed(items: list[bytes]) -> bytes:
-    """Byte strings in one: zlib of their number, lengths and bytes."""
-    return zlib.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 6)
+def frozen(ids: list, lists: list[np.ndarray], codes: np.ndarray) -> bytes:
+    """A block's documents: their number, lengths and ids, and their pre-tokens' codes as planes of bytes, compressed."""
+    head = np.array([len(ids), *map(len, lists)], "<u4").tobytes() + np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(head + planes.tobytes())
 
 
-def unpacked(blob: bytes) -> list[bytes]:
-    raw = zlib.decompress(blob)
+def thawed(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(ids, lengths, codes) of a block's documents."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    at = np.cumsum(np.append(4 + 4 * n, np.frombuffer(raw, "<u4", n, 4)))
-    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    known, ids = np.frombuffer(raw, np.uint8, n, 4 + 4 * n), np.frombuffer(raw, "<i8", n, 4 + 5 * n)
+    codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 + 13 * n).reshape(4, -1).T).view("<u4").ravel()
+    return [int(i) if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(raw, "<u4", n, 4), codes
 
 
-def narrow(codes: np.ndarray) -> bytes:
-    """Numbers as 16- or 32-bit little-endian ones, split into planes of bytes, compressed."""
-    wide = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zlib.compress(np.ascontiguousarray(wide.T).tobytes(), 1)
+class Gather:
+    """Values of a binary column, each a run of elements of ``dtype``, put together by their places."""
 
+    def __init__(self, column: pa.ChunkedArray, dtype: str):
+        a = pa.concat_arrays(column.cast(pa.binary()).chunks) if column.num_chunks else pa.array([], pa.binary())
+        unit = np.dtype(dtype).itemsize
+        at = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset) if len(a) else np.zeros(1, np.int32)
+        data = a.buffers()[2]
+        self.data = np.frombuffer(data, dtype, int(at[-1]) // unit) if data is not None and at[-1] else np.empty(0, dtype)
+        self.starts, self.sizes = at[:-1].astype(np.int64) // unit, np.diff(at).astype(np.int64) // unit
 
-def widened(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    def __call__(self, places: np.ndarray) -> bytes:
+        if not len(places):
+            return b""
+        n = self.sizes[places]
+        ends = np.cumsum(n)
+        return self.data[np.repeat(self.starts[places] - (ends - n), n) + np.arange(ends[-1])].tobytes()
 
 
 def blocks(batches, pattern: str):
@@ -121,121 +135,136 @@ def blocks(batches, pattern: str):
         yield (part << 32) + number, ids, lists, list(vocab)
 
 
-def encode_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = 0, stable: bool = False) -> DataFrame:
+def encode_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(word, ids, tokens) of distinct words: ids as little-endian unsigned 32-bit integers, tokens as an array of them."""
+
+    def encode(batches):
+        encode_one = word_encoder(ranks, pattern)
+        for b in batches:
+            ids = [encode_one(w) for w in b.column(0).to_pylist()]
+            yield from arrow_rows("word binary, ids binary, tokens array<long>", [b.column(0), [np.array(x, "<u4").tobytes() for x in ids], ids])
+
+    return words.mapInArrow(encode, "word binary, ids binary, tokens array<long>")
+
+
+def token_table(spark: SparkSession, ranks: str) -> DataFrame:
+    """(id, bytes) of the vocabulary, to be sent to executors where it is small."""
+    table = ranks_of(ranks)
+    rows = spark.createDataFrame(pa.table({"id": pa.array(table.values(), pa.int64()), "bytes": pa.array(table.keys(), pa.binary())}))
+    return maybe_broadcast(rows, len(table), 64 + max(map(len, table)))
+
+
+def decode_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(word, decoded): each word's ``tokens`` joined with the token-byte table and put together by position. It goes by way of hex
+    digits, as only strings are joined in linear time."""
+    pieces = words.select("word", F.posexplode("tokens").alias("pos", "id")).join(tokens, "id")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex"))))
+    return pieces.groupBy("word").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")).alias("decoded"))
+
+
+def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``docs``: ids as little-endian unsigned 32-bit integers, and the bytes of their decoding.
 
-    1. Texts are exploded into pre-tokens with positions, in blocks of documents. A block's distinct words are combined and
-       divided by a hash of the word into ``buckets``.
-    2. The words go to their buckets: one row for a block and bucket, so a word that is everywhere adds one entry for each
-       block and every bucket has the same number of rows. A bucket encodes each distinct word once, by the merge ranks (a
-       bucket of over ``MOST_WORDS`` distinct words forgets and encodes some again, so that its memory is bounded).
-    3. The ids go back to their blocks, where they meet the positions, and each document's ids are put together in order.
-    4. Decoding looks the ids up in the token-byte table, of the vocabulary's size.
-
-    The words and the positions come from two passes over the same rows, so positions are shuffled once, texts never, and neither
-    is written. Both passes have to see the same rows in the same order: ``stable`` states that ``docs`` is a scan of files that
-    don't change; else its rows are written first. Each block's words carry a digest in both passes, so that a
-    difference is an error and never a wrong result. A null text is like an empty one: no ids. Every row is returned, repeated and
-    null doc_ids too. Further columns are not read.
+    1. Texts are exploded into pre-tokens with positions, once, in blocks of documents of ``BLOCK_CHARS``. A block gives one row for each of its
+       distinct words, with the word's code there; the positions are lists of codes (frequent words have small ones), which stay in a
+       file of the task in the shared folder, under its attempt's own name.
+    2. The distinct words of all blocks, combined before the shuffle, are encoded by the merge ranks, each once.
+    3. Decoding joins the words' ids with the token-byte table, of the vocabulary's size.
+    4. Both are joined back to the blocks' words, and meet by block, where the positions are read and each document is put together.
+
+    Rows that are shuffled grow with the distinct words of blocks; neither texts nor positions are shuffled. A word has at most one row
+    a block, so the most frequent word's rows are a small part of all, and they are streamed past its one entry.
+    A task holds a block: ``BLOCK_CHARS`` of text, or one text that is longer, and its words. A null text is like an empty one: no
+    ids. Every row is returned, repeated and null doc_ids too; an empty table gives no rows. Further columns are not read.
     """
-    spark = docs.sparkSession
-    rows = columns(docs, "doc_id", "text")
-    rows = (rows if stable else written(rows, "texts")).withColumn("part", F.spark_partition_id())
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ddl = "block long, bucket int, payload binary, docs binary"
-    limits = np.array([2**32 * k // buckets for k in range(1, buckets)], np.int64)
-
-    def shares(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        return raw, np.searchsorted(limits, np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)), "right")
-
-    def batch(*cols) -> pa.RecordBatch:
-        schema = schema_of(ddl)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    def words_of(batches):
-        for block, _, _, words in blocks(batches, pattern):
-            raw, share = shares(words)
-            order = np.argsort(share, kind="stable")
-            at = np.searchsorted(share[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                if at[k] < at[k + 1]:
-                    yield batch([block], [k], [packed([raw[i] for i in order[at[k] : at[k + 1]]])], [None])
-            yield batch([block], [buckets], [xxhash.xxh3_128_digest(b"\n".join(raw))], [None])
-
-    def places_of(batches):
+    spark = small_batches(docs.sparkSession)
+    folder = table_path(spark, "positions")
+    rows = columns(docs, "doc_id", "text").withColumn("part", F.spark_partition_id())
+    ddl = "block long, code int, word binary, file string, at long, size long"
+
+    def exploded(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        name, out, at = f"part-{uuid.uuid4().hex}", None, 0
         for block, ids, lists, words in blocks(batches, pattern):
-            raw, share = shares(words)
-            # codes by bucket, then by first use: the order in which the ids come back
-            order = np.argsort(share, kind="stable")
-            new = np.empty(len(words), np.uint32)
-            new[order] = np.arange(len(words), dtype=np.uint32)
-            body = narrow(new[np.concatenate(lists)] if words else np.empty(0, np.uint32))
-            head = xxhash.xxh3_128_digest(b"\n".join(raw)) + np.array([len(ids), *map(len, lists)], "<u4").tobytes()
-            known = np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
-            yield batch([block], [-1], [body], [zlib.compress(head + known, 1)])
-
-    small = max(ranks_of(ranks).values()) < 1 << 16
-
-    def encoded(batches):
-        encode = word_encoder(ranks, pattern)
-        known: dict[bytes, bytes] = {}
-        now = None
+            if out is None:
+                store.create_dir(base, recursive=True)
+                out = store.open_output_stream(f"{base}/{name}")
+            codes, n = np.concatenate(lists), len(words)
+            order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
+            new = np.empty(n, np.uint32)
+            new[order] = np.arange(n, dtype=np.uint32)
+            blob = frozen(ids, lists, new[codes])
+            out.write(blob)
+            yield from arrow_rows(ddl, [[block], [-1], [None], [name], [at], [len(blob)]])
+            raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+            yield from arrow_rows(ddl, [np.full(n, block), np.arange(n), raw, pa.nulls(n), pa.nulls(n), pa.nulls(n)])
+            at += len(blob)
+        if out is not None:
+            out.close()
+
+    exploded_rows = written(rows.mapInArrow(exploded, ddl), "block-words")
+    heads = exploded_rows.where("word is null").drop("word")
+    words = exploded_rows.where("word is not null").select("block", "code", "word")
+    vocabulary = written(encode_words(words.select("word").distinct(), ranks, pattern), "vocabulary")
+    vocabulary = written(vocabulary.join(decode_words(vocabulary, token_table(spark, ranks)), "word").select("word", "ids", "decoded"), "words")
+    back = words.join(vocabulary, "word").drop("word").unionByName(heads, allowMissingColumns=True)
+
+    def whole(parts: list[pa.RecordBatch]):
+        from pyarrow import fs
+
+        table = pa.Table.from_batches(parts)
+        if not np.array_equal(table["code"].to_numpy(), np.arange(-1, table.num_rows - 1)):
+            raise ValueError("a block's words are not all there")
+        head, table = table.slice(0, 1).to_pylist()[0], table.slice(1)
+        store, base = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{base}/{head['file']}") as f:
+            f.seek(head["at"])
+            ids, lens, codes = thawed(f.read(head["size"]))
+        encoded, decoded = Gather(table["ids"], "<u4"), Gather(table["decoded"], "u1")
+        got, held, at = [], 0, 0
+        for i, n in zip(ids, lens.tolist(), strict=True):
+            c = codes[at : at + n]
+            at += n
+            got.append((i, encoded(c), decoded(c)))
+            held += len(got[-1][1]) + len(got[-1][2])
+            if held > ARROW_BYTES:
+                yield from arrow_rows("doc_id long, ids binary, decoded binary", list(zip(*got, strict=True)))
+                got, held = [], 0
+        if got:
+            yield from arrow_rows("doc_id long, ids binary, decoded binary", list(zip(*got, strict=True)))
+
+    def assembled(batches):
+        held, now = [], None
         for b in batches:
-            for block, bucket, blob in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
-                if bucket == buckets:
-                    yield batch([block], [bucket], [blob], [None])
-                    continue
-                if bucket != now:
-                    known, now = {}, bucket
-                out = []
-                for w in unpacked(blob):
-                    if (x := known.get(w)) is None:
-                        if len(known) >= MOST_WORDS:
-                            known.clear()
-                        known[w] = x = np.array(encode(w), "<u2" if small else "<u4").tobytes()
-                    out.append(x)
-                yield batch([block], [bucket], [packed(out)], [None])
-
-    sent = rows.mapInArrow(words_of, ddl).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    both = sent.mapInArrow(encoded, ddl).unionByName(rows.mapInArrow(places_of, ddl))
-
-    def assembled(g: dict):
-        order, blobs = np.argsort(g["bucket"].to_numpy()), g["payload"]
-        at, check = int(order[0]), int(order[-1])
-        head = zlib.decompress(g["docs"][at].as_py() or zlib.compress(b""))
-        if (g["bucket"][at].as_py(), g["bucket"][check].as_py(), blobs[check].as_py()) != (-1, buckets, head[:16]):
-            raise ValueError("the two passes saw different rows; encode a written table")
-        words = [np.frombuffer(w, "<u2" if small else "<u4") for i in order[1:-1] for w in unpacked(blobs[int(i)].as_py())]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.append(0, np.cumsum(sizes))
-        flat = np.concatenate([*words, np.empty(0, "<u2")]).astype("<u4")
-        codes = widened(blobs[at].as_py())
-        head = head[16:]
-        n = int(np.frombuffer(head, "<u4", 1)[0])
-        lens = np.frombuffer(head, "<u4", n, 4)
-        known = np.frombuffer(head, np.uint8, n, 4 + 4 * n)
-        ids = np.frombuffer(head, "<i8", n, 4 + 5 * n)
-        out_ids, out_bytes, p = [], [], 0
-        for k in lens:
-            c = codes[p : p + k]
-            p += k
-            m = sizes[c]
-            ends = np.cumsum(m)
-            doc = flat[np.repeat(starts[c] - (ends - m), m) + np.arange(ends[-1])] if k else np.empty(0, "<u4")
-            out_ids.append(doc.tobytes())
-            out_bytes.append(decode_ids(doc, ranks))
-        return pa.array([int(i) if y else None for i, y in zip(ids, known, strict=True)], pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_bytes, pa.binary())
-
-    return map_groups(both, ["block"], assembled, "doc_id long, ids binary, decoded binary")
+            block = b.column("block").to_numpy()
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for s, e in zip(starts, [*starts[1:], len(block)], strict=True):
+                if held and block[s] != now:
+                    yield from whole(held)
+                    held = []
+                now = block[s]
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from whole(held)
 
+    tasks = min(max(heads.count(), 1), MOST_TASKS)
+    return back.repartition(tasks, "block").sortWithinPartitions("block", "code").mapInArrow(assembled, "doc_id long, ids binary, decoded binary")
 
-def decode_documents(rows: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, decoded): bytes of ids that are given as little-endian unsigned 32-bit integers; null ids give null."""
 
-    @F.udf("binary", useArrow=True)
-    def decode(x):
-        return None if x is None else decode_ids(np.frombuffer(x, "<u4"), ranks)
+def decode_documents(rows: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, decoded): bytes of ids that are given as little-endian unsigned 32-bit integers; null ids give null. The token-byte table is
+    held by every worker, and a batch of rows is looked up there at once."""
+
+    @F.pandas_udf("binary")
+    def decode(column: pd.Series) -> pd.Series:
+        given = column.dropna()
+        data = decode_ids(np.frombuffer(b"".join(given), "<u4"), ranks)
+        _, at = token_bytes(ranks)
+        sizes = [int((at[x + 1] - at[x]).sum()) for x in (np.frombuffer(v, "<u4").astype(np.int64) for v in given)]
+        ends = np.cumsum([0, *sizes])
+        return pd.Series([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], given.index, object).reindex(column.index).replace({np.nan: None})
 
     return rows.select(key, decode(ids).alias("decoded"))
 

@@ -92,7 +92,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from doclattice.llm.byte_bpe import digests, encode_documents
 
-    return digests(encode_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stable=not spreads(spark)))
+    return digests(encode_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
