@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 from collections import defaultdict
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -136,15 +137,23 @@ def blocks(batches, pattern: str):
 
 
 def encode_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(word, ids, tokens) of distinct words: ids as little-endian unsigned 32-bit integers, tokens as an array of them."""
+    """(key, pos, id, word, ids): a row for each token of distinct words, at the first with the word and all ids as little-endian unsigned
+    32-bit integers. The key is half of the word's SHA-256, so that rows stay short where a word has a million tokens."""
+    ddl = "key binary, pos int, id long, word binary, ids binary"
 
     def encode(batches):
         encode_one = word_encoder(ranks, pattern)
         for b in batches:
-            ids = [encode_one(w) for w in b.column(0).to_pylist()]
-            yield from arrow_rows("word binary, ids binary, tokens array<long>", [b.column(0), [np.array(x, "<u4").tobytes() for x in ids], ids])
+            given = b.column(0).to_pylist()
+            ids = [encode_one(w) for w in given]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            first, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+            keys = pa.array([hashlib.sha256(w).digest()[:16] for w in given], pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
+            heads = np.full((2, total), None, object)
+            heads[0, first], heads[1, first] = given, [np.array(x, "<u4").tobytes() for x in ids]
+            yield from arrow_rows(ddl, [keys, np.arange(total) - np.repeat(first, sizes), np.fromiter(chain.from_iterable(ids), np.int64, total), *heads])
 
-    return words.mapInArrow(encode, "word binary, ids binary, tokens array<long>")
+    return words.mapInArrow(encode, ddl)
 
 
 def token_table(spark: SparkSession, ranks: str) -> DataFrame:
@@ -154,12 +163,12 @@ def token_table(spark: SparkSession, ranks: str) -> DataFrame:
     return maybe_broadcast(rows, len(table), 64 + max(map(len, table)))
 
 
-def decode_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(word, decoded): each word's ``tokens`` joined with the token-byte table and put together by position. It goes by way of hex
+def decode_words(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(word, ids, decoded): each word's tokens joined with the token-byte table and put together by position. It goes by way of hex
     digits, as only strings are joined in linear time."""
-    pieces = words.select("word", F.posexplode("tokens").alias("pos", "id")).join(tokens, "id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex"))))
-    return pieces.groupBy("word").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")).alias("decoded"))
+    decoded = F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), ""))
+    return pieces.join(tokens, "id").groupBy("key").agg(F.first("word", True).alias("word"), F.first("ids", True).alias("ids"), decoded.alias("decoded")).drop("key")
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -207,8 +216,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     exploded_rows = written(rows.mapInArrow(exploded, ddl), "block-words")
     heads = exploded_rows.where("word is null").drop("word")
     words = exploded_rows.where("word is not null").select("block", "code", "word")
-    vocabulary = written(encode_words(words.select("word").distinct(), ranks, pattern), "vocabulary")
-    vocabulary = written(vocabulary.join(decode_words(vocabulary, token_table(spark, ranks)), "word").select("word", "ids", "decoded"), "words")
+    vocabulary = decode_words(encode_words(words.select("word").distinct(), ranks, pattern), token_table(spark, ranks))
     back = words.join(vocabulary, "word").drop("word").unionByName(heads, allowMissingColumns=True)
 
     def whole(parts: list[pa.RecordBatch]):
