@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 import uuid
 from collections import defaultdict
 from functools import lru_cache
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.shared import ARROW_BYTES, arrow_rows, columns, maybe_broadcast, small_batches, table_path, written
+from doclattice.llm.shared import ARROW_BYTES, arrow_rows, columns, small_batches, table_path, written
 from doclattice.llm.word_tokens import latin
 
 #: Characters of text in one block of documents.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 32_000_000
+#: Distinct words that a bucket is meant to have; its task holds them, some 20 MB.
+BUCKET_WORDS = 100_000
+#: Smallest hashes by which distinct words are estimated, to some 3 %.
+LEAST_HASHES = 1024
 #: Tasks that put blocks together; with more blocks, a task has several, one after another.
 MOST_TASKS = 50_000
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0"
@@ -80,42 +84,40 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
     return data[np.repeat(at[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes() if len(ids) else b""
 
 
-def frozen(ids: list, lists: list[np.ndarray], codes: np.ndarray) -> bytes:
-    """A block's documents: their number, lengths and ids, and their pre-tokens' codes as planes of bytes, compressed."""
-    head = np.array([len(ids), *map(len, lists)], "<u4").tobytes() + np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(head + planes.tobytes())
+def packed(items: list[bytes]) -> bytes:
+    """Byte strings in one: their number, lengths and bytes, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items))
 
 
-def thawed(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(ids, lengths, codes) of a block's documents."""
+def unpacked(blob: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    known, ids = np.frombuffer(raw, np.uint8, n, 4 + 4 * n), np.frombuffer(raw, "<i8", n, 4 + 5 * n)
-    codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 + 13 * n).reshape(4, -1).T).view("<u4").ravel()
-    return [int(i) if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(raw, "<u4", n, 4), codes
+    at = np.cumsum(np.append(4 + 4 * n, np.frombuffer(raw, "<u4", n, 4))).tolist()
+    return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as 32-bit ones, byte after byte of all of them."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-class Gather:
-    """Values of a binary column, each a run of elements of ``dtype``, put together by their places."""
 
-    def __init__(self, column: pa.ChunkedArray, dtype: str):
-        a = pa.concat_arrays(column.cast(pa.binary()).chunks) if column.num_chunks else pa.array([], pa.binary())
-        unit = np.dtype(dtype).itemsize
-        at = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset) if len(a) else np.zeros(1, np.int32)
-        data = a.buffers()[2]
-        self.data = np.frombuffer(data, dtype, int(at[-1]) // unit) if data is not None and at[-1] else np.empty(0, dtype)
-        self.starts, self.sizes = at[:-1].astype(np.int64) // unit, np.diff(at).astype(np.int64) // unit
+def frozen(ids: list, lists: list[np.ndarray], order: np.ndarray, codes: np.ndarray) -> bytes:
+    """A block's documents: their number, lengths and ids, the places of the words by code, and the pre-tokens' codes; compressed."""
+    head = np.array([len(ids), len(order), *map(len, lists)], "<u4").tobytes() + np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + planes(order) + planes(codes))
 
-    def __call__(self, places: np.ndarray) -> bytes:
-        if not len(places):
-            return b""
-        n = self.sizes[places]
-        ends = np.cumsum(n)
-        return self.data[np.repeat(self.starts[places] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+
+def thawed(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(ids, lengths, places of pre-tokens among the block's words) of a block's documents."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, words = np.frombuffer(raw, "<u4", 2).tolist()
+    lens, known, ids = np.frombuffer(raw, "<u4", n, 8), np.frombuffer(raw, np.uint8, n, 8 + 4 * n), np.frombuffer(raw, "<i8", n, 8 + 5 * n)
+    at = 8 + 13 * n
+    order, codes = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, z - a, a).reshape(4, -1).T).view("<u4").ravel() for a, z in ((at, at + 4 * words), (at + 4 * words, len(raw))))
+    return [int(i) if k else None for i, k in zip(ids, known, strict=True)], lens, order[codes] if words else codes
 
 
-def blocks(batches, pattern: str):
+def blocks(batches, pattern: str, block_chars: int):
     """Blocks of whole documents: (number, ids of documents, code lists, distinct words in order of first use). A word's code is its
     place among the block's distinct words, and the code lists are the block's pre-tokens with their positions."""
     number = 0
@@ -127,7 +129,7 @@ def blocks(batches, pattern: str):
             ids.append(i)
             lists.append(np.fromiter(map(vocab.__getitem__, words), np.uint32, len(words)))
             chars += len(t or "")
-            if chars >= BLOCK_CHARS:
+            if chars >= block_chars:
                 yield (part << 32) + number, ids, lists, list(vocab)
                 number += 1
                 vocab = defaultdict(count().__next__)
@@ -136,106 +138,112 @@ def blocks(batches, pattern: str):
         yield (part << 32) + number, ids, lists, list(vocab)
 
 
-def encode_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(key, pos, id, word, ids): a row for each token of distinct words, at the first with the word and all ids as little-endian unsigned
-    32-bit integers. The key is half of the word's SHA-256, so that rows stay short where a word has a million tokens."""
-    ddl = "key binary, pos int, id long, word binary, ids binary"
-
-    def encode(batches):
-        encode_one = word_encoder(ranks, pattern)
-        for b in batches:
-            given = b.column(0).to_pylist()
-            ids = [encode_one(w) for w in given]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = np.cumsum(sizes) - sizes, int(sizes.sum())
-            keys = pa.array([hashlib.sha256(w).digest()[:16] for w in given], pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), sizes)))
-            heads = np.full((2, total), None, object)
-            heads[0, first], heads[1, first] = given, [np.array(x, "<u4").tobytes() for x in ids]
-            yield from arrow_rows(ddl, [keys, np.arange(total) - np.repeat(first, sizes), np.fromiter(chain.from_iterable(ids), np.int64, total), *heads])
-
-    return words.mapInArrow(encode, ddl)
+def distinct_words(block_words: DataFrame) -> int:
+    """About how many distinct words all blocks have, from the ``LEAST_HASHES`` smallest hashes of all (each block gives its own smallest). It
+    decides the number of buckets, not what they hold."""
+    smallest = block_words.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(LEAST_HASHES).agg(F.count("*").alias("n"), F.max("h").alias("h")).first()
+    return smallest["n"] if smallest["n"] < LEAST_HASHES else int((LEAST_HASHES - 1) * 2.0**64 / (smallest["h"] + 2**63 + 1))
 
 
-def token_table(spark: SparkSession, ranks: str) -> DataFrame:
-    """(id, bytes) of the vocabulary, to be sent to executors where it is small."""
-    table = ranks_of(ranks)
-    rows = spark.createDataFrame(pa.table({"id": pa.array(table.values(), pa.int64()), "bytes": pa.array(table.keys(), pa.binary())}))
-    return maybe_broadcast(rows, len(table), 64 + max(map(len, table)))
-
-
-def decode_words(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(word, ids, decoded): each word's tokens joined with the token-byte table and put together by position. It goes by way of hex
-    digits, as only strings are joined in linear time."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("hex"))))
-    decoded = F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), ""))
-    return pieces.join(tokens, "id").groupBy("key").agg(F.first("word", True).alias("word"), F.first("ids", True).alias("ids"), decoded.alias("decoded")).drop("key")
-
-
-def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, pattern: str, bucket_words: int = BUCKET_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``docs``: ids as little-endian unsigned 32-bit integers, and the bytes of their decoding.
 
-    1. Texts are exploded into pre-tokens with positions, once, in blocks of documents of ``BLOCK_CHARS``. A block gives one row for each of its
-       distinct words, with the word's code there; the positions are lists of codes (frequent words have small ones), which stay in a
-       file of the task in the shared folder, under its attempt's own name.
-    2. The distinct words of all blocks, combined before the shuffle, are encoded by the merge ranks, each once.
-    3. Decoding joins the words' ids with the token-byte table, of the vocabulary's size.
-    4. Both are joined back to the blocks' words, and meet by block, where the positions are read and each document is put together.
-
-    Rows that are shuffled grow with the distinct words of blocks; neither texts nor positions are shuffled. A word has at most one row
-    a block, so the most frequent word's rows are a small part of all, and they are streamed past its one entry.
-    A task holds a block: ``BLOCK_CHARS`` of text, or one text that is longer, and its words. A null text is like an empty one: no
-    ids. Every row is returned, repeated and null doc_ids too; an empty table gives no rows. Further columns are not read.
+    1. Texts are exploded into pre-tokens with positions, once, in blocks of documents of ``block_chars``. A block gives one row with
+       its distinct words in the order of their hashes. The positions are lists of codes (frequent words have small ones), which
+       stay in a file of the task in the shared folder, under its attempt's own name; the table of rows only names committed files.
+    2. The words go to buckets, ranges of hashes: as many that each has about ``bucket_words`` distinct words, so their number grows with the
+       vocabulary, and a task holds one bucket's words. A bucket encodes each distinct word once, by the merge ranks. A word
+       that is everywhere adds one entry for each block.
+    3. The ids go back to their blocks, where the positions are read and each document's ids are put together in order.
+    4. Decoding joins the ids with the token-byte table, of the vocabulary's size, which every worker holds.
+
+    Shuffled are the distinct words of blocks and their ids, neither texts nor positions. A task holds a block: ``block_chars`` of
+    text, or one text that is longer, and its words. A null text is like an empty one: no ids. Every row is returned, repeated and null
+    doc_ids too; an empty table gives no rows. Further columns are not read.
     """
     spark = small_batches(docs.sparkSession)
     folder = table_path(spark, "positions")
     rows = columns(docs, "doc_id", "text").withColumn("part", F.spark_partition_id())
-    ddl = "block long, code int, word binary, file string, at long, size long"
+    ddl = "block long, words binary, least array<long>, file string, at long, size long"
+
+    def hashes(raw: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
 
     def exploded(batches):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
         name, out, at = f"part-{uuid.uuid4().hex}", None, 0
-        for block, ids, lists, words in blocks(batches, pattern):
+        for block, ids, lists, words in blocks(batches, pattern, block_chars):
             if out is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}")
-            codes, n = np.concatenate(lists), len(words)
-            order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
-            new = np.empty(n, np.uint32)
-            new[order] = np.arange(n, dtype=np.uint32)
-            blob = frozen(ids, lists, new[codes])
+            raw, codes = [w.encode("utf-8", "surrogatepass") for w in words], np.concatenate(lists)
+            del words
+            h = hashes(raw)
+            by_hash = np.argsort(h, kind="stable")
+            place = np.empty(len(raw), np.uint32)
+            place[by_hash] = np.arange(len(raw), dtype=np.uint32)
+            by_use = np.argsort(-np.bincount(codes, minlength=len(raw)), kind="stable")
+            code = np.empty(len(raw), np.uint32)
+            code[by_use] = np.arange(len(raw), dtype=np.uint32)
+            blob = frozen(ids, lists, place[by_use], code[codes])
             out.write(blob)
-            yield from arrow_rows(ddl, [[block], [-1], [None], [name], [at], [len(blob)]])
-            raw = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
-            yield from arrow_rows(ddl, [np.full(n, block), np.arange(n), raw, pa.nulls(n), pa.nulls(n), pa.nulls(n)])
+            least = (np.unique(h)[:LEAST_HASHES] ^ np.uint64(1 << 63)).view(np.int64)
+            yield from arrow_rows(ddl, [[block], [packed([raw[i] for i in by_hash.tolist()])], [least], [name], [at], [len(blob)]])
             at += len(blob)
         if out is not None:
             out.close()
 
-    exploded_rows = written(rows.mapInArrow(exploded, ddl), "block-words")
-    heads = exploded_rows.where("word is null").drop("word")
-    words = exploded_rows.where("word is not null").select("block", "code", "word")
-    vocabulary = decode_words(encode_words(words.select("word").distinct(), ranks, pattern), token_table(spark, ranks))
-    back = words.join(vocabulary, "word").drop("word").unionByName(heads, allowMissingColumns=True)
+    block_words = written(rows.mapInArrow(exploded, ddl), "block-words")
+    buckets = -(-distinct_words(block_words) // bucket_words) or 1
+    limits = np.array([2**64 * k // buckets for k in range(1, buckets)], np.uint64)
+    dealt = "block long, bucket int, payload binary, file string, at long, size long"
 
-    def whole(parts: list[pa.RecordBatch]):
+    def dealt_words(batches):
+        for b in batches:
+            for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = unpacked(blob)
+                at = [0, *np.searchsorted(hashes(raw), limits, "left").tolist(), len(raw)]
+                for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    if x < y:
+                        yield from arrow_rows("block long, bucket int, words binary", [[block], [k], [packed(raw[x:y])]])
+
+    def encoded(batches):
+        encode = word_encoder(ranks, pattern)
+        known: dict[bytes, bytes] = {}
+        now = None
+        for b in batches:
+            for block, bucket, blob in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "words")), strict=True):
+                if bucket != now:
+                    known, now = {}, bucket
+                words = unpacked(blob)
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encode(w), "<u4").tobytes()
+                yield from arrow_rows(dealt, [[block], [bucket], [packed([known[w] for w in words])], [None], [None], [None]])
+
+    sent = block_words.select("block", "words").mapInArrow(dealt_words, "block long, bucket int, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    heads = block_words.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("payload"), "file", "at", "size")
+
+    def whole(rows: list[dict]):
         from pyarrow import fs
 
-        table = pa.Table.from_batches(parts)
-        if not np.array_equal(table["code"].to_numpy(), np.arange(-1, table.num_rows - 1)):
-            raise ValueError("a block's words are not all there")
-        head, table = table.slice(0, 1).to_pylist()[0], table.slice(1)
         store, base = fs.FileSystem.from_uri(folder)
-        with store.open_input_file(f"{base}/{head['file']}") as f:
-            f.seek(head["at"])
-            ids, lens, codes = thawed(f.read(head["size"]))
-        encoded, decoded = Gather(table["ids"], "<u4"), Gather(table["decoded"], "u1")
+        with store.open_input_file(f"{base}/{rows[0]['file']}") as f:
+            f.seek(rows[0]["at"])
+            ids, lens, places = thawed(f.read(rows[0]["size"]))
+        words = [w for r in rows[1:] for w in unpacked(r["payload"])]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words), "<u4")
         got, held, at = [], 0, 0
         for i, n in zip(ids, lens.tolist(), strict=True):
-            c = codes[at : at + n]
+            c = places[at : at + n]
             at += n
-            got.append((i, encoded(c), decoded(c)))
+            m = sizes[c]
+            ends = np.cumsum(m)
+            doc = flat[np.repeat(starts[c] - (ends - m), m) + np.arange(ends[-1])] if n else flat[:0]
+            got.append((i, doc.tobytes(), decode_ids(doc, ranks)))
             held += len(got[-1][1]) + len(got[-1][2])
             if held > ARROW_BYTES:
                 yield from arrow_rows("doc_id long, ids binary, decoded binary", list(zip(*got, strict=True)))
@@ -244,21 +252,19 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield from arrow_rows("doc_id long, ids binary, decoded binary", list(zip(*got, strict=True)))
 
     def assembled(batches):
-        held, now = [], None
+        held: list[dict] = []
         for b in batches:
-            block = b.column("block").to_numpy()
-            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-            for s, e in zip(starts, [*starts[1:], len(block)], strict=True):
-                if held and block[s] != now:
+            for r in b.to_pylist():
+                if held and held[0]["block"] != r["block"]:
                     yield from whole(held)
                     held = []
-                now = block[s]
-                held.append(b.slice(s, e - s))
+                held.append(r)
         if held:
             yield from whole(held)
 
-    tasks = min(max(heads.count(), 1), MOST_TASKS)
-    return back.repartition(tasks, "block").sortWithinPartitions("block", "code").mapInArrow(assembled, "doc_id long, ids binary, decoded binary")
+    tasks = min(max(block_words.count(), 1), MOST_TASKS)
+    both = sent.mapInArrow(encoded, dealt).unionByName(heads)
+    return both.repartition(tasks, "block").sortWithinPartitions("block", "bucket").mapInArrow(assembled, "doc_id long, ids binary, decoded binary")
 
 
 def decode_documents(rows: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

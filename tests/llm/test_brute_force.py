@@ -742,19 +742,18 @@ def test_small_scans_are_dealt_out_and_others_left_alone(spark, tmp_path, monkey
     assert shared.spread_small(df) is df
 
 
-def test_byte_bpe_of_a_long_word_and_many_blocks(spark, monkeypatch):
+def test_byte_bpe_of_a_long_word_and_many_blocks(spark):
     """A word of 300,000 letters, words that many blocks share, and blocks of one document."""
     import tiktoken
 
     from doclattice.llm import byte_bpe
 
-    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 30)
     path = tokenizer("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["ab" * 150_000, *(f"the same words and {i % 7} others, the same" for i in range(200)), "", None, " \n "]
     rows = spark.createDataFrame([(i % 150, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = byte_bpe.encode_documents(rows, path, public_tokenizers.PATTERN).collect()
+    got = byte_bpe.encode_documents(rows, path, public_tokenizers.PATTERN, bucket_words=4, block_chars=30).collect()
     want = [(i % 150, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in enumerate(texts)]
     assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == sorted(want)
     lists = byte_bpe.decode_documents(spark.createDataFrame([(1, None), (2, b""), (3, want[1][1])], "doc_id long, ids binary"), path).collect()
