@@ -171,3 +171,21 @@ def test_stale_files(tmp_path):
     for name, text in (("A", "<doc><assembly><name>A</name></assembly><members/></doc>"), ("B", "<doc><assembly><name>A</name></assembly></doc>"), ("C", "<doc><members><assembly><name>C</name></assembly></members></doc>"), ("D", "<doc><assembly>"), ("E", "<x><assembly><name>E</name></assembly></x>")):
         (tmp_path / f"{name}.xml").write_text(text)
     assert [sinks.documented_assembly(tmp_path / f"{x}.xml") == x for x in "ABCDE"] == [True, False, False, False, False]
+
+
+def test_members_are_read_one_by_one(tmp_path, spark):
+    """Members at any depth, in one another too, with comments, sections of characters and text between; many of them, in several files."""
+    inner = "<member name='b'>x<p>y &amp; z</p></member>"
+    odd = f"<doc>t<members><!-- </member> --><member name='a'>lead <s>one</s> tail<![CDATA[</member>]]>{inner}<e/>end</member>text<group><member/></group></members></doc>"
+    many = "<doc><members>" + "".join(f"<member name='m{i}'><summary>{i}</summary></member>\n" for i in range(1300)) + "</members></doc>"
+    for name, body in (("odd", odd), ("many", many), ("none", "<doc/>")):
+        (tmp_path / f"{name}.xml").write_text(body)
+    got = sorted((r.file, r.ord, r.old_id, r.lead, [(c.tag, c.name, c.xml) for c in r.children]) for r in files.read_members(spark, f"{tmp_path}/*.xml").collect())
+    want = []
+    for name, body in (("odd", odd), ("many", many)):
+        for k, m in enumerate(ET.fromstring(body).iter("member")):
+            want.append((f"{name}.xml", k, m.get("name", ""), m.text or "", [(c.tag, c.get("name"), ET.tostring(c, encoding="unicode")) for c in m]))
+    assert got == sorted(want) and len(got) == 1303
+    (tmp_path / "odd.xml").write_text(odd[:-8])
+    with pytest.raises(Exception, match="ParseError"):
+        files.read_members(spark, f"{tmp_path}/odd.xml").collect()
